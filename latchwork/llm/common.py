@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -63,3 +64,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch, and bounded bytes where Spark knows that setting, so that long texts fit a task."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished passes: its cleaner follows the driver's garbage collector."""
+    gc.collect()
+    spark._jvm.System.gc()

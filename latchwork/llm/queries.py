@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, pii, secrets, sharding, urlfilter
+from . import decontam, pii, secrets, sharding, suffix_dedup, urlfilter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_pii": pii.op4_pii,
     "op5_decontamination": decontam.op5_decontamination,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
 }
 ORACLE = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op5_decontamination": decontam.OP5_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
 }
