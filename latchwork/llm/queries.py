@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, pii, secrets, sharding, suffix_dedup, urlfilter
+from . import decontam, minhash, pii, secrets, sharding, suffix_dedup, urlfilter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_minhash": minhash.op7_minhash,
     "op9_url_filter": urlfilter.op9_url_filter,
 }
 ORACLE = {
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op5_decontamination": decontam.OP5_SQL,
+    "op7_minhash": minhash.OP7_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
 }
