@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, pii, secrets, sharding, suffix_dedup, urlfilter
+from . import decontam, minhash, pieces, pii, secrets, sharding, suffix_dedup, toxicity, urlfilter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_pii": pii.op4_pii,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_minhash": minhash.op7_minhash,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_url_filter": urlfilter.op9_url_filter,
 }
 ORACLE = {
