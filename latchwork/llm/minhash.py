@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, discard, pick, release, settle
 
 U = np.uint64
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 #: Hash functions, each giving a minimum and a maximum; BANDS bands of four of these values. Two sets of similarity 0.8 miss every band once in 20 million.
 PERMUTATIONS, BANDS = 64, 32
 #: Shingles that one task compares with each other at most.
@@ -37,9 +39,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of texts that stand one after the other, and where each text's words begin."""
-    space = _SPACE[data]
+def word_hashes(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of texts that stand one after the other, and where each text's words begin.
+
+    ``breaks``: which bytes stand between words; without it, white space.
+    """
+    space = breaks[data]
     first = ~space
     first[1:] &= space[:-1]
     inner = bounds[1:-1][bounds[1:-1] < len(data)]
@@ -251,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     bounded_batches(spark)
     source = pick(docs, "doc_id", "text")
-    texts = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     sketched, sketch_path = settle(texts.mapInArrow(_sketches(words), "id long, n_shingles long, low long, high long, bands array<long>"), "sketches")
     nodes = sketched.where("n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes, node_path = settle(nodes, "nodes")
@@ -269,8 +274,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     parts = stars.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)).cast("int").alias("parts"))
     placed = stars.join(parts, "hub").select("hub", F.col("node").alias("id"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     central = parts.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    with_text = lambda who: who.join(texts, "id").select("hub", "part", "id", "role", "text")
-    tested, tested_path = settle(with_text(placed.union(central)).groupBy("hub", "part").applyInArrow(_compare(words, percent), LINKS), "tested")
+    # The ids grow with the corpus, so they are not broadcast: the texts of all members are picked out by one shuffle.
+    members = stars.select(F.col("node").alias("id")).union(stars.select("hub")).distinct()
+    told, told_path = settle(texts.join(members.hint("merge"), "id", "left_semi"), "members")
+    release(spark)
+    tested = placed.union(central).join(told.hint("merge"), "id").select("hub", "part", "id", "role", "text")
+    tested, tested_path = settle(tested.groupBy("hub", "part").applyInArrow(_compare(words, percent), LINKS), "tested")
     release(spark)
     links = tested.where("b is not null").select("a", "b")
     # Members that their hub doesn't link, of hubs with several parts: each meets the other parts too, block by block.
@@ -281,15 +290,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     asking = blocks.select("hub", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2).alias("role"))
     asked = placed.join(sums, "hub").select("hub", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(1).alias("role"))
     cross = asking.union(asked).groupBy("hub", "id", "block", "part").agg(F.max("role").alias("role"))
-    cross_text = cross.join(texts, "id").select("hub", "block", "part", "id", "role", "text")
+    cross_text = cross.join(told.hint("merge"), "id").select("hub", "block", "part", "id", "role", "text")
     crossed, crossed_path = settle(cross_text.groupBy("hub", "block", "part").applyInArrow(_compare(words, percent), LINKS), "crossed")
+    discard(spark, told_path)
     links = links.union(crossed.where("b is not null").select("a", "b"))
     named = components(links)
     ids = sketched.select("id", "n_shingles", "low", "high")
     of = nodes.select(F.col("low").alias("l"), F.col("high").alias("h"), "node")
     out = ids.join(of, (ids.low == of.l) & (ids.high == of.h) & (ids.n_shingles > 0), "left").join(named.select(F.col("id").alias("node"), "component"), "node", "left")
     component = F.coalesce("component", "node", "id")
-    back = lambda c: F.when(c != -(2**63), c)
+    back = lambda c: F.when(c != NO_ID, c)
     return out.select(back(F.col("id")).alias("doc_id"), "n_shingles", back(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
