@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -78,3 +79,4 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished passes: its cleaner follows the driver's garbage collector."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside the driver

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,7 +18,7 @@ THRESHOLD = 100
 #: Depth of the first pass. Each window of THRESHOLD bytes is ordered by the suffix at its anchor: the place of its smallest hash of FIRST bytes.
 FIRST = 32
 #: Windows of one block of the second pass: it orders THRESHOLD - BLOCK + 1 bytes.
-BLOCK = 16
+BLOCK = 32
 #: Bytes that a task hashes at once.
 CHUNK = 1 << 20
 #: Anchors among which a task drops repeated contexts before they are shuffled.
@@ -99,7 +99,9 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), bounds
 
 
-ANCHORS = "gram long, context long, known boolean, doc long, n int, anchor int, first int, last int"
+#: A row of the first pass: place holds the anchor, how far before it the run starts, and how long it is; a known interval has -1 there for its first start, its last one in context.
+ANCHORS = "gram long, context long, doc long, n int, place long"
+_BITS = 12
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +114,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((anchor, n, doc, context, gram))
         again = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])]
         fresh = order[~again]
-        yield _batch(gram[fresh], context[fresh], False, doc[fresh], n[fresh], anchor[fresh], first[fresh], last[fresh])
+        place = (anchor[fresh] << (2 * _BITS)) | ((anchor - first)[fresh] << _BITS) | (last - first)[fresh]
+        yield _batch(gram[fresh], context[fresh], doc[fresh], n[fresh], place)
         old = order[again]
         if len(old):
             old = old[np.lexsort((first[old], n[old], doc[old]))]
             cut = np.flatnonzero((doc[old][1:] != doc[old][:-1]) | (n[old][1:] != n[old][:-1]) | (first[old][1:] > last[old][:-1] + THRESHOLD)) + 1
             a, b = old[np.r_[0, cut]], old[np.r_[cut, len(old)] - 1]
             spread = _mix(doc[a].astype(np.uint64) + _mix(first[a].astype(np.uint64)))
-            yield _batch(spread, np.zeros(len(a), np.uint64), True, doc[a], n[a], first[a], first[a], last[b])
+            yield _batch(spread, last[b].astype(np.uint64), doc[a], n[a], -1 - first[a])
 
     for batch in batches:
         data, bounds = _texts(batch)
@@ -148,9 +151,19 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _batch(gram, context, known, doc, n, anchor, first, last) -> pa.RecordBatch:
-    columns = [gram.view(np.int64), context.view(np.int64), np.full(len(gram), known), doc.astype(np.int64), *(x.astype(np.int32) for x in (n, anchor, first, last))]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "context", "known", "doc", "n", "anchor", "first", "last"])
+def _batch(gram, context, doc, n, place) -> pa.RecordBatch:
+    columns = [gram.view(np.int64), context.view(np.int64), doc.astype(np.int64), n.astype(np.int32), place.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [f.split()[0] for f in ANCHORS.split(", ")])
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """The rows of the first pass with anchor, first and last; known intervals are later rows."""
+    mask, known = (1 << _BITS) - 1, F.col("place") < 0
+    anchor = F.shiftright("place", 2 * _BITS)
+    first = F.when(known, -1 - F.col("place")).otherwise(anchor - F.shiftright("place", _BITS).bitwiseAND(F.lit(mask)))
+    rows = rows.withColumn("known", known).withColumn("anchor", anchor.cast("int")).withColumn("first", first.cast("int"))
+    last = F.when(F.col("known"), F.col("context")).otherwise(F.col("first") + F.col("place").bitwiseAND(F.lit(mask)))
+    return rows.withColumn("last", last.cast("int"))
 
 
 def _blocks(anchor: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
@@ -159,7 +172,7 @@ def _blocks(anchor: int, first: int, last: int) -> Iterator[tuple[int, int, int]
         yield b, max(first, anchor - b * BLOCK - BLOCK + 1), min(last, anchor - b * BLOCK)
 
 
-BLOCKS = "gram long, context long, known boolean, doc long, n int, anchor int, first int, last int, bytes binary"
+BLOCKS = "gram long, context long, doc long, n int, anchor int, first int, last int, bytes binary"
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +180,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = _texts(batch)
         docs, ns, runs = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "n", "runs"))
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(8)]
         for k in range(len(docs)):
             text, doc, n = data[bounds[k] : bounds[k + 1]], docs[k].as_py(), ns[k].as_py()
             for run in runs[k].as_py():
@@ -177,9 +190,9 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held = text[first : last + THRESHOLD].tobytes()
                     key = hashlib.blake2b(core + b"%d" % b, digest_size=8).digest()
                     context = hashlib.blake2b(held + b"%d/%d" % (anchor - first, last - first), digest_size=8).digest()
-                    for column, value in zip(out, (int.from_bytes(key, "big", signed=True), int.from_bytes(context, "big", signed=True), False, doc, n, anchor, first, last, held), strict=True):
+                    for column, value in zip(out, (int.from_bytes(key, "big", signed=True), int.from_bytes(context, "big", signed=True), doc, n, anchor, first, last, held), strict=True):
                         column.append(value)
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
 
 
@@ -199,14 +212,14 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [f.split()[0] for f in WINDOWS.split(", ")])
 
 
-def _radix_pass(rows: DataFrame) -> DataFrame:
+def _radix_pass(rows: DataFrame, known: Column, place: str) -> DataFrame:
     """One pass over rows with gram and context: ``later`` rows repeat the windows of an earlier one, ``open`` ones share a gram with another context."""
     group = Window.partitionBy("gram")
-    same = Window.partitionBy("gram").orderBy("context", "doc", "n", "anchor")
+    same = Window.partitionBy("gram").orderBy("context", "doc", "n", place)
     before = F.lag("context").over(same)
-    seen = rows.withColumn("later", F.col("known") | F.coalesce(before == F.col("context"), F.lit(False)))
+    seen = rows.withColumn("later", known | F.coalesce(before == F.col("context"), F.lit(False)))
     seen = seen.withColumn("mixed", F.min("context").over(group) != F.max("context").over(group))
-    return seen.withColumn("open", F.col("mixed") & ~F.col("later")).where("later or open").drop("mixed", "known", "gram", "context")
+    return seen.withColumn("open", F.col("mixed") & ~F.col("later")).where("later or open").drop("mixed")
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +260,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Suffixes are sorted only through THRESHOLD bytes, most significant digits first.
     A window is filed under the suffix at its anchor, so that one suffix in some
     thirty is sorted and still each window is: pass 1 sorts them by FIRST bytes,
-    pass 2 those left by 85, pass 3 by all THRESHOLD. After each pass a group whose
+    pass 2 those left by 69, pass 3 by all THRESHOLD. After each pass a group whose
     windows are all equal is settled, a suffix alone in its group is dropped, and the
     rest goes on.
     """
@@ -262,11 +275,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = rows.select("doc", "n", "text")
 
     found = keyed.where(F.length("text") >= THRESHOLD).mapInArrow(_anchor_rows, ANCHORS)
-    one, path_one = settle(_radix_pass(found), "pass1")
+    one, path_one = settle(_unpacked(_radix_pass(found, F.col("place") < 0, "place")).select("doc", "n", "anchor", "first", "last", "later", "open"), "pass1")
+    del found
     release(spark)
     runs = one.where("open").groupBy("doc", "n").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
     blocks = keyed.join(runs, ["doc", "n"]).mapInArrow(_block_rows, BLOCKS)
-    two, path_two = settle(_radix_pass(blocks), "pass2")
+    two, path_two = settle(_radix_pass(blocks, F.lit(False), "anchor").drop("gram", "context"), "pass2")
+    del blocks
     release(spark)
     windows = two.where("open").select("doc", "n", "first", "last", "bytes").mapInArrow(_window_rows, WINDOWS)
     rank = Window.partitionBy("low", "high").orderBy("doc", "n", "first")
