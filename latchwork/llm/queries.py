@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, pieces, pii, secrets, sharding, suffix_dedup, toxicity, urlfilter
+from . import bm25, decontam, minhash, pieces, pii, secrets, sharding, suffix_dedup, toxicity, urlfilter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op10_bm25_search": bm25.op10_bm25_search,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_pii": pii.op4_pii,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
 }
 ORACLE = {
+    "op10_bm25_search": bm25.OP10_SQL,
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op5_decontamination": decontam.OP5_SQL,
     "op7_minhash": minhash.OP7_SQL,
