@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, pick, settle
+from .common import LOWER, UPPER, discard, pick, settle
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that no word has; all others, letters and digits of any script, make words.
+BREAKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 #: Words of a window, and of a gram. Every window holds WINDOW - GRAM + 1 grams, and keeps the smallest hash.
 WINDOW, GRAM = 10, 5
 #: A packed fingerprint: hash above, position (in words) in the lower bits.
@@ -17,7 +18,8 @@ BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + BREAKS, LOWER + " " * len(BREAKS))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def _packed(value: Column, at: Column) -> Column:
@@ -36,9 +38,15 @@ def fingerprints(hashes: Column, short: list[int]) -> Column:
     """
     n, inner = F.size(hashes), WINDOW - GRAM + 1
     grams = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: _packed(F.xxhash64(*[F.get(hashes, i + k) for k in range(GRAM)]), i))
-    least = lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.array_min(F.slice(g, i, inner))))
-    # The grams stand in an array of one element, so that each is computed once and not anew for each window.
-    long = F.when(n >= WINDOW, F.flatten(F.transform(F.array(grams), least)))
+    half = inner // 2
+
+    def least(values: Column, width: int, step: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(values) - (width - 1) * step - 1), lambda i: F.least(*[F.get(values, i + k * step) for k in range(width)]))
+
+    # An expression stands in an array of one element, so that it is computed once and not anew for each use.
+    once = lambda c, f: F.flatten(F.transform(F.array(c), f))
+    minima = once(once(grams, lambda g: least(g, half, 1)), lambda h: least(h, 2, half))
+    long = F.when(n >= WINDOW, F.array_distinct(minima))
     parts = [F.coalesce(long, F.array().cast("array<bigint>"))]
     for size in short:
         parts.append(F.when(n >= size, _all_of(hashes, size)).otherwise(F.array().cast("array<bigint>")))
