@@ -60,13 +60,13 @@ def _exploded(rows: DataFrame, short: list[int]) -> DataFrame:
     return packed.select(*[c for c in packed.columns if c != "packed"], F.shiftright("packed", POSITION_BITS).alias("print"), at.alias("at"))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Finds benchmark windows in every whole text of ``docs`` (doc_id, text).
 
     A window is WINDOW consecutive words of an item (item_id, text), or the whole item
     where it has fewer words. Returns doc_id, text, words, hit (the places of the words
     inside any occurrence of a window, each once, unordered) and items (the item_ids
-    with occurring windows, as sorted strings).
+    with occurring windows, as sorted strings). ``keep`` names further columns to return.
 
     Null texts and texts without words hold nothing and match nothing. Null doc_ids and
     repeated rows keep a row each; a null item_id is the empty string. An empty
@@ -80,7 +80,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words"))
     items, items_path = settle(items.where(F.size("words") > 0).distinct(), "items")
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect())
-    texts = pick(docs, "doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = pick(docs, "doc_id", "text", *keep).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     listed = items.withColumn("item_words", F.col("words"))
     long_items = _exploded(listed.where(F.size("words") >= WINDOW), [])
     short_items = listed.where(F.size("words") < WINDOW).select(
@@ -108,15 +108,21 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.struct(h["item"].alias("item"), F.flatten(F.transform(starts, lambda s: F.sequence(s, s + size - 1))).alias("hit"))
 
     proven = F.filter(F.transform("hits", extended), lambda h: F.size(h["hit"]) > 0)
-    rows = rows.select("doc_id", "text", "words", F.when(F.col("hits").isNotNull(), proven).alias("proven"))
+    rows = rows.select("doc_id", "text", *keep, "words", F.when(F.col("hits").isNotNull(), proven).alias("proven"))
     none = F.col("proven").isNull()
     return rows.select(
-        "doc_id", "text", "words",
+        "doc_id", "text", *keep, "words",
         F.when(none, F.array().cast("array<int>")).otherwise(F.array_distinct(F.flatten(F.transform("proven", lambda h: h["hit"])))).alias("hit"),
         F.when(none, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform("proven", lambda h: h["item"])))).alias("items"),
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All columns of the rows of ``docs`` whose text holds no window of the benchmark."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return find_overlaps(docs, benchmark, others).where(F.size("hit") == 0).select(*docs.columns)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return rows.select(

@@ -143,12 +143,12 @@ def accepted(patterns: list[tuple]) -> set[tuple]:
     return out
 
 
-def find_pii(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Finds personal data in every whole text of ``docs`` (doc_id, text).
 
     Returns doc_id, base and found, arrays of (kind, start, end) by code points; base
-    holds the matches of the base patterns, found these and the added ones. With
-    ``keep_text`` the text too.
+    holds the matches of the base patterns, found these and the added ones. ``keep``
+    names further columns to return.
 
     Labelers (strict pattern, gazetteer, context) vote on every candidate; the votes of
     the whole corpus are counted by pattern (fewer than 5,000 patterns, whatever the
@@ -160,11 +160,11 @@ def find_pii(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     row each. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    text = F.col("text")
+    texts = pick(docs, "doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
+    text = F.coalesce("text", F.lit(""))
     seen = texts.withColumn("base", base_spans(text)).withColumn("loose", loose_spans(text))
     apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    seen = seen.select("doc_id", *(["text"] if keep_text else []), F.concat(voted(text, F.col("base"), True), voted(text, apart, False)).alias("voted"))
+    seen = seen.select("doc_id", *keep, F.concat(voted(text, F.col("base"), True), voted(text, apart, False)).alias("voted"))
     seen, _ = settle(seen, "votes")
     columns = ("kind", "regex", "gazetteer", "context", "shape")
     counted = seen.where(F.size("voted") > 0).select(F.explode("voted").alias("v")).groupBy(*[F.col(f"v.{c}") for c in columns], "v.base").count()
@@ -179,7 +179,7 @@ def find_pii(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     plain = lambda v: F.struct(v["kind"].alias("kind"), v["start"].alias("start"), v["end"].alias("end"))
     return seen.select(
         "doc_id",
-        *(["text"] if keep_text else []),
+        *keep,
         F.transform(F.filter("voted", lambda v: v["base"]), plain).alias("base"),
         F.transform(F.filter("voted", lambda v: v["base"] | F.array_contains(wanted, code(v))), plain).alias("found"),
     )
@@ -199,6 +199,12 @@ def redacted(text: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.aggregate(ordered, zero, step, lambda seen: F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.char_length(text)))))
 
 
+def redact_rows(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text and others), with spans of personal data replaced in the text."""
+    found = find_pii(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return found.withColumn("text", redacted(F.col("text"), F.col("found"))).select(*docs.columns)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select(

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_batches, discard, pick, settle
 
@@ -158,23 +159,24 @@ def _descend(x: np.ndarray, y: np.ndarray, moved: np.ndarray, steps: int = 400,
     return w, b
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text and score of every row of ``docs`` (doc_id, text).
+def score_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of every row of ``docs``, which has a column text, and its score.
 
     A score depends on the words of the whole text alone. Null and empty texts have no
     words, so the bias is their score. Null doc_ids and repeated rows keep a row each.
     """
     bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(words_of(t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            scores = [model.score(words_of(t or "")) for t in batch.column(at).to_pylist()]
+            yield batch.append_column("score", pa.array(scores, pa.float64()))
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = score_texts(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    scored = score_rows(pick(docs, "doc_id", "text"), fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
