@@ -213,7 +213,7 @@ LINKS = "hub long, a long, b long"
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, component): the smallest id that each id of ``links`` (a, b) reaches, itself included.
+    """(id, component): the smallest id that each id of ``links`` (a, b) reaches; the smallest ids themselves have no row.
 
     Alternating stars: every node's neighbours move to its smallest neighbour, until no edge changes.
     """

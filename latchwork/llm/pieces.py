@@ -233,8 +233,8 @@ class Pieces:
             out.append(self.flat[index])
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        text = b"".join(map(self.bytes_of.__getitem__, np.asarray(ids, int).tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -298,7 +298,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     ["doc_id", "text", "ids", "decoded"],
                 )
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ BEGINNINGS, SHARED = (3, 5, 7), (1, 2, 4)
 #: Words whose beginnings a Python worker keeps.
 KEPT_WORDS = 300_000
 #: Weights of the squared weights, and of the squared score changes under swaps.
-RIDGE, FAIR = 1e-3, 1.0
+RIDGE, FAIR = 1e-3, 10.0
 CUT = 0.7
 
 # Identity terms; those of a line stand for each other.
@@ -47,10 +47,10 @@ def _bases(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
-def features_of(text: str) -> list[str]:
+def features_of(words: set[str]) -> list[str]:
     """Words, beginnings, and beginnings that several different words share: 'clown', '^clo', '^clo#2'."""
     shared: dict[str, int] = {}
-    for word in words_of(text):
+    for word in words:
         for base in _bases(word):
             shared[base] = shared.get(base, 0) + 1
     return sorted(base if least == 1 else f"{base}#{least}" for base, n in shared.items() for least in SHARED if n >= least)
@@ -96,10 +96,14 @@ def training_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return pick(docs, "doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of each text, and those of its counterfactual: the text with its identity terms swapped, null if it has none."""
     for batch in batches:
-        found = [features_of(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["words", "toxic"])
+        texts = [words_of(t) for t in batch.column(0).to_pylist()]
+        own = [features_of(w) for w in texts]
+        swapped = [features_of({SWAP.get(x, x) for x in w}) if w & SWAP.keys() else None for w in texts]
+        kind = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array(swapped, kind), batch.column(1)], ["words", "swapped", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
@@ -114,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     """
     spark = docs.sparkSession
     texts = training_texts(docs, labels, sample)
-    rows, path = settle(texts.mapInArrow(_word_rows, "words array<string>, toxic int"), "words")
+    rows, path = settle(texts.mapInArrow(_feature_rows, "words array<string>, swapped array<string>, toxic int"), "words")
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
         discard(spark, path)
@@ -128,18 +132,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     words = sorted({r[0] for r in ranked.select("word").collect()} | set(SWAP))
     place = {w: i for i, w in enumerate(words)}
     known = F.broadcast(spark.createDataFrame(list(place.items()), "word string, place int"))
-    numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "toxic", F.explode_outer("words").alias("word")).join(known, "word", "left")
-    sampled = numbered.groupBy("row").agg(F.max("toxic").alias("toxic"), F.collect_set("place").alias("places")).collect()
+    # One row for each text and one for each counterfactual, of the bounded sample.
+    sides = rows.select("toxic", F.monotonically_increasing_id().alias("row"), F.posexplode(F.array("words", "swapped")).alias("side", "features")).where("features IS NOT NULL")
+    numbered = sides.select("row", "side", "toxic", F.explode_outer("features").alias("word")).join(known, "word", "left")
+    sampled = numbered.groupBy("row", "side").agg(F.max("toxic").alias("toxic"), F.collect_set("place").alias("places")).orderBy("row", "side").collect()
     discard(spark, path)
     x = np.zeros((len(sampled), len(words)), np.float32)
     for i, r in enumerate(sampled):
         x[i, r["places"]] = 1
-    y = np.array([r["toxic"] for r in sampled], np.float32)
-    swap = np.arange(len(words))
-    for a, b in SWAP.items():
-        swap[place[b]] = place[a]
-    named = np.flatnonzero(x[:, [place[t] for t in SWAP]].any(axis=1))
-    weights, bias = _descend(x, y, x[named] - x[named][:, swap])
+    other = np.array([r["side"] == 1 for r in sampled])  # a counterfactual stands behind its text
+    y = np.array([r["toxic"] for r in sampled], np.float32)[~other]
+    moved = x[np.flatnonzero(other) - 1] - x[other]
+    x = x[~other]
+    weights, bias = _descend(x, y, moved)
     return Model({w: float(v) for w, v in zip(words, weights, strict=True) if v}, float(bias))
 
 
