@@ -35,8 +35,9 @@ def lookup_subjects(schema: Schema, edges: DataFrame, resource_type: str, permis
     """Distinct (resource_id, subject_id): the subjects of a type that hold a permission on resources, all resources if none are given."""
     schema.require_type(subject_type)
     schema.require_permission(resource_type, permission)
-    held = Evaluation(schema, edges, subject_type).grants(resource_type, permission).select("resource_id", "subject_id")
-    return held.join(resources.select("resource_id").distinct(), "resource_id", "left_semi") if resources is not None else held
+    run = Evaluation(schema, edges, subject_type)
+    held = run.grants(resource_type, permission) if resources is None else run.demanded(resource_type, permission, resources)
+    return held.select("resource_id", "subject_id")
 
 
 def count_by(held: DataFrame, key: str, limit: int | None = None) -> DataFrame:

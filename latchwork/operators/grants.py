@@ -92,7 +92,70 @@ class Evaluation:
                 self.done[group[0]] = reduce(DataFrame.union, parts).distinct() if parts else self.nothing()
         return self.done[root]
 
+    def demanded(self, resource_type: str, permission: str, wanted: DataFrame) -> DataFrame:
+        """Grants on the ``wanted`` resources (resource_id) alone: the demand goes down through the rules before any grant is made."""
+        node = (resource_type, permission)
+        if node not in self.schema.permissions:
+            return self.nothing()
+        return self._demanded(node, wanted.select("resource_id").distinct()).select("resource_id", "subject_type", "subject_id").distinct()
+
+    def _demanded(self, node: Node, wanted: DataFrame) -> DataFrame:
+        group, recursive = next((g, r) for g, r in self.schema.components(node) if node in g)
+        if recursive:
+            return self._demanded_component(group, node, wanted)
+        near = lambda rows: rows.join(wanted, "resource_id", "left_semi")
+        parts = []
+        for rule in self.schema.permissions[node]:
+            if rule.kind == "direct":
+                parts.append(near(self.holders(node[0], rule.target)))
+            elif rule.kind == "self":
+                parts.append(self._demanded((node[0], rule.target), wanted))
+            else:
+                for t in self.schema.relations[(node[0], rule.via)]:
+                    if rule.kind == "arrow_permission" and not self._useful((t, rule.target)):
+                        continue
+                    via = near(relation_edges(self.edges, node[0], rule.via, t).select("resource_id", F.col("subject_id").alias("through")))
+                    below = via.select(F.col("through").alias("resource_id")).distinct()
+                    inner = self._demanded((t, rule.target), below) if rule.kind == "arrow_permission" else self.holders(t, rule.target).join(below, "resource_id", "left_semi")
+                    inner = inner.select(F.col("resource_id").alias("through"), "subject_type", "subject_id")
+                    parts.append(via.join(inner, "through").select("resource_id", "subject_type", "subject_id"))
+        parts = [p.select("resource_id", "subject_type", "subject_id") for p in parts]
+        return reduce(DataFrame.union, parts) if parts else self.nothing()
+
+    def _demanded_component(self, group: list[Node], node: Node, wanted: DataFrame) -> DataFrame:
+        for below, _ in self.schema.components(node):
+            if below != group and not any(n in self.done for n in below):
+                self.grants(*below[0])
+        seeds, steps, number = self._seeds_and_steps(group)
+        if not seeds:
+            return self.nothing()
+        seed = reduce(DataFrame.unionByName, seeds).select("node", "resource_id", "subject_type", "subject_id").distinct()
+        if steps:
+            step = settle(reduce(DataFrame.union, steps).distinct(), "steps")[0]
+            back = step.select(F.col("to_node").alias("from_node"), F.col("to_id").alias("from_id"), F.col("from_node").alias("to_node"), F.col("from_id").alias("to_id"))
+            start = wanted.select(F.lit(number[node]).alias("node"), "resource_id", F.lit("").alias("subject_type"), F.lit("").alias("subject_id"))
+            needed = reach(settle(start, "wanted")[0], back)[0].select("node", "resource_id")
+            seed = seed.join(needed, ["node", "resource_id"], "left_semi")
+            inside = needed.select(F.col("node").alias("to_node"), F.col("resource_id").alias("to_id"))
+            found = reach(settle(seed, "seeds")[0], step.join(inside, ["to_node", "to_id"], "left_semi").select(*step.columns))[0]
+        else:
+            found = seed
+        return found.where(F.col("node") == number[node]).join(wanted, "resource_id", "left_semi").select("resource_id", "subject_type", "subject_id")
+
     def _component(self, group: list[Node]) -> None:
+        seeds, steps, number = self._seeds_and_steps(group)
+        if not seeds:
+            self.done |= {n: self.nothing() for n in group}
+            return
+        seed = reduce(DataFrame.unionByName, seeds).select("node", "resource_id", "subject_type", "subject_id").distinct()
+        found, _ = settle(seed, "seeds")
+        if steps:
+            found, self.rounds = reach(found, reduce(DataFrame.union, steps).distinct())
+        for n in group:
+            self.done[n] = found.where(F.col("node") == number[n]).select("resource_id", "subject_type", "subject_id")
+
+    def _seeds_and_steps(self, group: list[Node]) -> tuple[list[DataFrame], list[DataFrame], dict[Node, int]]:
+        """What a component gets from outside it, the steps inside it, and the numbers of its nodes."""
         number = {n: i for i, n in enumerate(group)}
         alias = self._aliases(group)  # node -> nodes that hold whatever it holds
         seeds, steps = [], []
@@ -112,15 +175,7 @@ class Evaluation:
                             inner = self.done[(t, rule.target)].select(F.col("resource_id").alias("from_id"), "subject_type", "subject_id")
                             part = via.join(inner, "from_id").select(F.col("to_id").alias("resource_id"), "subject_type", "subject_id")
                             seeds += [part.withColumn("node", F.lit(number[m])) for m in alias[node]]
-        if not seeds:
-            self.done |= {n: self.nothing() for n in group}
-            return
-        seed = reduce(DataFrame.unionByName, seeds).select("node", "resource_id", "subject_type", "subject_id").distinct()
-        found, _ = settle(seed, "seeds")
-        if steps:
-            found, self.rounds = reach(found, reduce(DataFrame.union, steps).distinct())
-        for n in group:
-            self.done[n] = found.where(F.col("node") == number[n]).select("resource_id", "subject_type", "subject_id")
+        return seeds, steps, number
 
     def _aliases(self, group: list[Node]) -> dict[Node, set[Node]]:
         out = {n: {n} for n in group}
