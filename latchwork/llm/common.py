@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import time
-import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, settle
+
+__all__ = ["LOWER", "UPPER", "ascii_lower", "bounded_batches", "discard", "pick", "release", "settle"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,38 +34,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-@cache
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="latchwork-")
-    atexit.register(shutil.rmtree, path, True)
-    return f"file://{path}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; in local mode, where it is unset, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _own_dir()
-
-
-def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder and reads it again: lineage ends there. Returns it and its path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/latchwork-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Deletes settled tables that no later plan reads."""
-    for p in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch, and bounded bytes where Spark knows that setting, so that long texts fit a task."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
