@@ -93,64 +93,69 @@ class Evaluation:
         return self.done[root]
 
     def demanded(self, resource_type: str, permission: str, wanted: DataFrame) -> DataFrame:
-        """Grants on the ``wanted`` resources (resource_id) alone: the demand goes down through the rules before any grant is made."""
+        """Grants on the ``wanted`` resources (resource_id) alone: the demand goes down the rules, and meets holders at their ends."""
         node = (resource_type, permission)
         if node not in self.schema.permissions:
             return self.nothing()
-        return self._demanded(node, wanted.select("resource_id").distinct()).select("resource_id", "subject_type", "subject_id").distinct()
+        rows = wanted.select(F.col("resource_id").alias("root"), F.col("resource_id").alias("object")).distinct()
+        parts = self._ends(node, rows)
+        return reduce(DataFrame.union, parts).select(F.col("root").alias("resource_id"), "subject_type", "subject_id").distinct() if parts else self.nothing()
 
-    def _demanded(self, node: Node, wanted: DataFrame) -> DataFrame:
+    def _ends(self, node: Node, rows: DataFrame) -> list[DataFrame]:
+        """(root, subject_type, subject_id) of the holders that the demand ``rows`` (root, object) on a permission comes to."""
         group, recursive = next((g, r) for g, r in self.schema.components(node) if node in g)
-        if recursive:
-            return self._demanded_component(group, node, wanted)
-        near = lambda rows: rows.join(wanted, "resource_id", "left_semi")
-        parts = []
-        for rule in self.schema.permissions[node]:
-            if rule.kind == "direct":
-                parts.append(near(self.holders(node[0], rule.target)))
-            elif rule.kind == "self":
-                parts.append(self._demanded((node[0], rule.target), wanted))
-            else:
-                for t in self.schema.relations[(node[0], rule.via)]:
-                    if rule.kind == "arrow_permission" and not self._useful((t, rule.target)):
-                        continue
-                    via = near(relation_edges(self.edges, node[0], rule.via, t).select("resource_id", F.col("subject_id").alias("through")))
-                    below = via.select(F.col("through").alias("resource_id")).distinct()
-                    inner = self._demanded((t, rule.target), below) if rule.kind == "arrow_permission" else self.holders(t, rule.target).join(below, "resource_id", "left_semi")
-                    inner = inner.select(F.col("resource_id").alias("through"), "subject_type", "subject_id")
-                    parts.append(via.join(inner, "through").select("resource_id", "subject_type", "subject_id"))
-        parts = [p.select("resource_id", "subject_type", "subject_id") for p in parts]
-        return reduce(DataFrame.union, parts) if parts else self.nothing()
-
-    def _demanded_component(self, group: list[Node], node: Node, wanted: DataFrame) -> DataFrame:
-        for below, _ in self.schema.components(node):
-            if below != group and not any(n in self.done for n in below):
-                self.grants(*below[0])
-        seeds, steps, number = self._seeds_and_steps(group)
-        if not seeds:
-            return self.nothing()
-        seed = reduce(DataFrame.unionByName, seeds).select("node", "resource_id", "subject_type", "subject_id").distinct()
-        if steps:
-            step = settle(reduce(DataFrame.union, steps).distinct(), "steps")[0]
-            back = step.select(F.col("to_node").alias("from_node"), F.col("to_id").alias("from_id"), F.col("from_node").alias("to_node"), F.col("from_id").alias("to_id"))
-            start = wanted.select(F.lit(number[node]).alias("node"), "resource_id", F.lit("").alias("subject_type"), F.lit("").alias("subject_id"))
-            needed = reach(settle(start, "wanted")[0], back)[0].select("node", "resource_id")
-            seed = seed.join(needed, ["node", "resource_id"], "left_semi")
-            inside = needed.select(F.col("node").alias("to_node"), F.col("resource_id").alias("to_id"))
-            found = reach(settle(seed, "seeds")[0], step.join(inside, ["to_node", "to_id"], "left_semi").select(*step.columns))[0]
-        else:
-            found = seed
-        return found.where(F.col("node") == number[node]).join(wanted, "resource_id", "left_semi").select("resource_id", "subject_type", "subject_id")
+        if not recursive:
+            return [p for rule in self.schema.permissions[node] for p in self._end(rule, rows, ())]
+        number = {n: i for i, n in enumerate(group)}
+        alias = self._aliases(group)
+        into = {n: [m for m in group if n in alias[m]] for n in group}
+        seed = reduce(DataFrame.union, [rows.select(F.lit(number[m]).alias("node"), F.col("object").alias("resource_id"), F.lit("").alias("subject_type"), F.col("root").alias("subject_id")) for m in into[node]])
+        back = []
+        for n in group:
+            for rule in self.schema.permissions[n]:
+                for t in self.schema.relations[(rule.resource_type, rule.via)] if rule.kind == "arrow_permission" else ():
+                    if (t, rule.target) in number:
+                        via = relation_edges(self.edges, rule.resource_type, rule.via, t)
+                        back += [via.select(F.lit(number[n]).alias("from_node"), F.col("resource_id").alias("from_id"), F.lit(number[m]).alias("to_node"), F.col("subject_id").alias("to_id")) for m in into[(t, rule.target)]]
+        if back:
+            seed, self.rounds = reach(seed, reduce(DataFrame.union, back))
+        out = []
+        for n in group:
+            own = seed.where(F.col("node") == number[n]).select(F.col("subject_id").alias("root"), F.col("resource_id").alias("object"))
+            out += [p for rule in self.schema.permissions[n] for p in self._end(rule, own, group)]
+        return out
+
+    def _end(self, rule: Rule, rows: DataFrame, group) -> list[DataFrame]:
+        """The same for one rule; what it reads inside ``group`` is followed elsewhere."""
+        t = rule.resource_type
+
+        def met(type_: str, relation: str, demand: DataFrame) -> list[DataFrame]:
+            if self.subject_type is not None and self.subject_type not in self.schema.relations[(type_, relation)]:
+                return []
+            held = self.holders(type_, relation).withColumnRenamed("resource_id", "object")
+            return [demand.join(held, "object").select("root", "subject_type", "subject_id")]
+
+        if rule.kind == "direct":
+            return met(t, rule.target, rows)
+        if rule.kind == "self":
+            return self._ends((t, rule.target), rows) if (t, rule.target) not in group and self._useful((t, rule.target)) else []
+        out = []
+        for through in self.schema.relations[(t, rule.via)]:
+            if rule.kind == "arrow_permission" and ((through, rule.target) in group or not self._useful((through, rule.target))):
+                continue
+            via = relation_edges(self.edges, t, rule.via, through).select(F.col("resource_id").alias("object"), F.col("subject_id").alias("next"))
+            below = rows.join(via, "object").select("root", F.col("next").alias("object")).distinct()
+            out += met(through, rule.target, below) if rule.kind == "arrow_relation" else self._ends((through, rule.target), below)
+        return out
 
     def _component(self, group: list[Node]) -> None:
         seeds, steps, number = self._seeds_and_steps(group)
         if not seeds:
             self.done |= {n: self.nothing() for n in group}
             return
-        seed = reduce(DataFrame.unionByName, seeds).select("node", "resource_id", "subject_type", "subject_id").distinct()
-        found, _ = settle(seed, "seeds")
+        found = reduce(DataFrame.unionByName, seeds).select("node", "resource_id", "subject_type", "subject_id").distinct()
         if steps:
-            found, self.rounds = reach(found, reduce(DataFrame.union, steps).distinct())
+            found, self.rounds = reach(found, reduce(DataFrame.union, steps))
         for n in group:
             self.done[n] = found.where(F.col("node") == number[n]).select("resource_id", "subject_type", "subject_id")
 
@@ -192,42 +197,43 @@ class Evaluation:
         return out
 
 
-def reach(found: DataFrame, steps: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, int]:
-    """All (node, resource_id, subject_type, subject_id) that steps lead to from those found; and the rounds it took.
+def reach(seed: DataFrame, steps: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, int]:
+    """All (node, resource_id, subject_type, subject_id) that steps lead to from the seed; and the rounds it took.
 
     ``steps``: (from_node, from_id, to_node, to_id). Round k joins what is found with the
     pairs joined by exactly 2^k steps, so a chain of length n takes log n rounds; a round
     that finds nothing new ends it. Where pairs of that length would outnumber the
     steps too much, the pairs stay as they are and rounds go on from the newest rows
-    alone, as long as there are any. The driver sees counts only.
+    alone, as long as there are any. Each round writes its new rows only; the result
+    reads all of them. The driver sees counts only.
     """
-    spark = found.sparkSession
-    paths, paths_path = settle(steps, "paths")
-    steps_kept = paths
-    most = PATHS_PER_EDGE * max(1, paths.count())
-    found_path = steps_path = None
-    doubling, delta = True, found
+    spark = seed.sparkSession
+    row = ["node", "resource_id", "subject_type", "subject_id"]
+    delta, seed_path = settle(seed.select(*row).distinct(), "seed")
+    found, found_paths = delta, [seed_path]
+    single, single_path = settle(steps.distinct(), "paths")
+    paths, paths_path = single, single_path
+    most, doubling = PATHS_PER_EDGE * max(1, single.count()), True
     for k in range(1, most_rounds + 1):
         source = found if doubling else delta
         led = source.join(paths, (F.col("node") == F.col("from_node")) & (F.col("resource_id") == F.col("from_id")))
         led = led.select(F.col("to_node").alias("node"), F.col("to_id").alias("resource_id"), "subject_type", "subject_id").distinct()
-        fresh, fresh_path = settle(led.join(found, ["node", "resource_id", "subject_type", "subject_id"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            discard(spark, fresh_path)
+        delta, path = settle(led.join(found, row, "left_anti"), "fresh")
+        if delta.isEmpty():
+            discard(spark, path)
             return found, k
-        whole, whole_path = settle(found.union(fresh), "found")
-        if found_path:
-            discard(spark, found_path)
-        found, found_path, delta = whole, whole_path, fresh
+        found_paths.append(path)
+        found = spark.read.schema(delta.schema).parquet(*found_paths)
         if doubling:
             second = paths.select(F.col("from_node").alias("to_node"), F.col("from_id").alias("to_id"), F.col("to_node").alias("last_node"), F.col("to_id").alias("last_id"))
             longer = paths.join(second, ["to_node", "to_id"]).select("from_node", "from_id", F.col("last_node").alias("to_node"), F.col("last_id").alias("to_id")).distinct()
             longer, longer_path = settle(longer.limit(most + 1), "paths")
             if longer.count() > most:
                 discard(spark, longer_path)
-                doubling, paths, delta = False, steps_kept, found
+                doubling, paths, delta = False, single, found
             else:
-                if paths_path != steps_path and paths is not steps_kept:
-                    discard(spark, paths_path)
-                paths, paths_path = longer, longer_path
+                paths = longer
+            if paths_path != single_path:
+                discard(spark, paths_path)
+            paths_path = longer_path if doubling else single_path
     raise EngineError("traversal/limit-exceeded", f"no fixed point after {most_rounds} rounds")

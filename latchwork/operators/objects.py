@@ -50,7 +50,7 @@ def component_closure(parts: DataFrame, roots: DataFrame) -> DataFrame:
     name = lambda t, i: F.concat_ws("\0", t, i)
     seed = roots.select(F.lit(0).alias("node"), name(F.col("type"), F.col("id")).alias("resource_id"), F.lit("").alias("subject_type"), F.lit("").alias("subject_id")).distinct()
     steps = parts.select(F.lit(0).alias("from_node"), name(F.col("owner_type"), F.col("owner_id")).alias("from_id"), F.lit(0).alias("to_node"), name(F.col("type"), F.col("id")).alias("to_id"))
-    found, _ = reach(settle(seed, "roots")[0], steps.distinct())
+    found, _ = reach(seed, steps)
     split = F.split("resource_id", "\0", 2)
     return found.select(split[0].alias("type"), split[1].alias("id"))
 
