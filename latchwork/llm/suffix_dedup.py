@@ -85,10 +85,10 @@ def _context(windows: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: n
     return _mix(windows[first] * U(3) + _mix(windows[last] + U(5)) + _mix(where + U(77)))
 
 
-def _pieces(text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _pieces(text: np.ndarray, chunk: int) -> Iterator[tuple[int, np.ndarray]]:
     """Stretches of a text in which every window starts in exactly one."""
-    for begin in range(0, max(1, len(text) - THRESHOLD + 1), CHUNK):
-        yield begin, text[begin : begin + CHUNK + THRESHOLD - 1]
+    for begin in range(0, max(1, len(text) - THRESHOLD + 1), chunk):
+        yield begin, text[begin : begin + chunk + THRESHOLD - 1]
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -99,56 +99,83 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), bounds
 
 
-#: A row of the first pass: place holds the anchor, how far before it the run starts, and how long it is; a known interval has -1 there for its first start, its last one in context.
+#: A row of the first pass: place holds the anchor, how far before it the run starts, how long it is, and whether it is open for sure; a known interval has -1 there for its first start, its last one in context.
 ANCHORS = "gram long, context long, doc long, n int, place long"
-_BITS = 12
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of windows; runs whose windows all occur earlier in what the task holds come as known intervals."""
-    held: list[tuple] = []
-    count = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        gram, context, doc, n, anchor, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((anchor, n, doc, context, gram))
-        again = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])]
-        fresh = order[~again]
-        place = (anchor[fresh] << (2 * _BITS)) | ((anchor - first)[fresh] << _BITS) | (last - first)[fresh]
-        yield _batch(gram[fresh], context[fresh], doc[fresh], n[fresh], place)
-        old = order[again]
-        if len(old):
-            old = old[np.lexsort((first[old], n[old], doc[old]))]
-            cut = np.flatnonzero((doc[old][1:] != doc[old][:-1]) | (n[old][1:] != n[old][:-1]) | (first[old][1:] > last[old][:-1] + THRESHOLD)) + 1
-            a, b = old[np.r_[0, cut]], old[np.r_[cut, len(old)] - 1]
-            spread = _mix(doc[a].astype(np.uint64) + _mix(first[a].astype(np.uint64)))
-            yield _batch(spread, last[b].astype(np.uint64), doc[a], n[a], -1 - first[a])
+_BITS, _SURE = 12, 1 << 11
+#: Rows of the second pass that a task compares before they are shuffled.
+BLOCK_FLUSH = 50_000
 
-    for batch in batches:
-        data, bounds = _texts(batch)
-        docs, ns = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc", "n"))
-        i = 0
-        while i < len(docs):
-            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK)) - 1)
-            whole = data[bounds[i] : bounds[j]]
-            for begin, piece in _pieces(whole) if j == i + 1 else [(0, whole)]:
-                if len(piece) < THRESHOLD:
-                    continue
-                valid = np.ones(len(piece) - THRESHOLD + 1, bool)
-                ends = bounds[i + 1 : j] - bounds[i]
-                for e in ends:
-                    valid[max(0, e - THRESHOLD + 1) : e] = False
-                gram, context, anchor, first, last = anchors(piece, valid)
-                own = np.searchsorted(ends, first, side="right")
-                shift = (bounds[i + own] - bounds[i]) - begin
-                held.append((gram, context, docs[i + own], ns[i + own], anchor - shift, first - shift, last - shift))
-                count += len(gram)
-            i = j
-            if count >= FLUSH:
-                yield from flush()
-                held, count = [], 0
-    if count:
-        yield from flush()
+
+def _sorted_out(gram: np.ndarray, context: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows that a task holds: those to compare with other tasks' rows, those open for sure, and those repeated.
+
+    Of equal gram and context all but the first (by ``order``) are repeated. Of a gram
+    with several contexts two go on to the comparison, which tells every other task
+    that there are several; the rest is open without it. So a gram that a third of all
+    texts hold brings two rows from each task.
+    """
+    by = np.lexsort((*order[::-1], context, gram))
+    same_gram = np.r_[False, gram[by][1:] == gram[by][:-1]]
+    again = same_gram & np.r_[False, context[by][1:] == context[by][:-1]]
+    fresh = by[~again]
+    first = np.r_[True, gram[fresh][1:] != gram[fresh][:-1]]
+    ends = first | np.r_[first[1:], True]
+    return fresh[ends], fresh[~ends], by[again]
+
+
+def _anchor_rows(chunk: int, most: int):
+    """Rows of the first pass, from texts hashed ``chunk`` bytes at a time and compared ``most`` anchors at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each run of windows; runs whose windows all occur earlier in what the task holds come as known intervals."""
+        held: list[tuple] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            gram, context, doc, n, anchor, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+            compared, sure, old = _sorted_out(gram, context, doc, n, anchor)
+            place = (anchor << (2 * _BITS)) | ((anchor - first) << _BITS) | (last - first)
+            yield _batch(gram[compared], context[compared], doc[compared], n[compared], place[compared])
+            if len(sure):
+                yield _batch(_spread(doc[sure], anchor[sure]), context[sure], doc[sure], n[sure], place[sure] | _SURE)
+            if len(old):
+                old = old[np.lexsort((first[old], n[old], doc[old]))]
+                cut = np.flatnonzero((doc[old][1:] != doc[old][:-1]) | (n[old][1:] != n[old][:-1]) | (first[old][1:] > last[old][:-1] + THRESHOLD)) + 1
+                a, b = old[np.r_[0, cut]], old[np.r_[cut, len(old)] - 1]
+                yield _batch(_spread(doc[a], first[a]), last[b].astype(np.uint64), doc[a], n[a], -1 - first[a])
+
+        for batch in batches:
+            data, bounds = _texts(batch)
+            docs, ns = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc", "n"))
+            i = 0
+            while i < len(docs):
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + chunk)) - 1)
+                whole = data[bounds[i] : bounds[j]]
+                for begin, piece in _pieces(whole, chunk) if j == i + 1 else [(0, whole)]:
+                    if len(piece) < THRESHOLD:
+                        continue
+                    valid = np.ones(len(piece) - THRESHOLD + 1, bool)
+                    ends = bounds[i + 1 : j] - bounds[i]
+                    for e in ends:
+                        valid[max(0, e - THRESHOLD + 1) : e] = False
+                    gram, context, anchor, first, last = anchors(piece, valid)
+                    own = np.searchsorted(ends, first, side="right")
+                    shift = (bounds[i + own] - bounds[i]) - begin
+                    held.append((gram, context, docs[i + own], ns[i + own], anchor - shift, first - shift, last - shift))
+                    count += len(gram)
+                i = j
+                if count >= most:
+                    yield from flush()
+                    held, count = [], 0
+        if count:
+            yield from flush()
+
+    return run
+
+
+def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of rows that need no comparison: they go to all tasks alike."""
+    return _mix(doc.astype(np.uint64) + _mix(at.astype(np.uint64)))
 
 
 def _batch(gram, context, doc, n, place) -> pa.RecordBatch:
@@ -158,11 +185,11 @@ def _batch(gram, context, doc, n, place) -> pa.RecordBatch:
 
 def _unpacked(rows: DataFrame) -> DataFrame:
     """The rows of the first pass with anchor, first and last; known intervals are later rows."""
-    mask, known = (1 << _BITS) - 1, F.col("place") < 0
+    mask, length, known = (1 << _BITS) - 1, _SURE - 1, F.col("place") < 0
     anchor = F.shiftright("place", 2 * _BITS)
     first = F.when(known, -1 - F.col("place")).otherwise(anchor - F.shiftright("place", _BITS).bitwiseAND(F.lit(mask)))
     rows = rows.withColumn("known", known).withColumn("anchor", anchor.cast("int")).withColumn("first", first.cast("int"))
-    last = F.when(F.col("known"), F.col("context")).otherwise(F.col("first") + F.col("place").bitwiseAND(F.lit(mask)))
+    last = F.when(F.col("known"), F.col("context")).otherwise(F.col("first") + F.col("place").bitwiseAND(F.lit(length)))
     return rows.withColumn("last", last.cast("int"))
 
 
@@ -172,54 +199,84 @@ def _blocks(anchor: int, first: int, last: int) -> Iterator[tuple[int, int, int]
         yield b, max(first, anchor - b * BLOCK - BLOCK + 1), min(last, anchor - b * BLOCK)
 
 
-BLOCKS = "gram long, context long, doc long, n int, anchor int, first int, last int, bytes binary"
+BLOCKS = "gram long, context long, doc long, n int, anchor int, first int, last int, bytes binary, state int"
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the runs still open, keyed by the bytes that all windows of the block hold, with the bytes of its windows."""
-    for batch in batches:
-        data, bounds = _texts(batch)
-        docs, ns, runs = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "n", "runs"))
-        out: list[list] = [[] for _ in range(8)]
-        for k in range(len(docs)):
-            text, doc, n = data[bounds[k] : bounds[k + 1]], docs[k].as_py(), ns[k].as_py()
-            for run in runs[k].as_py():
-                anchor = run["anchor"]
-                for b, first, last in _blocks(anchor, run["first"], run["last"]):
-                    core = text[anchor - b * BLOCK : anchor - (b + 1) * BLOCK + 1 + THRESHOLD].tobytes()
-                    held = text[first : last + THRESHOLD].tobytes()
-                    key = hashlib.blake2b(core + b"%d" % b, digest_size=8).digest()
-                    context = hashlib.blake2b(held + b"%d/%d" % (anchor - first, last - first), digest_size=8).digest()
-                    for column, value in zip(out, (int.from_bytes(key, "big", signed=True), int.from_bytes(context, "big", signed=True), doc, n, anchor, first, last, held), strict=True):
-                        column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
+def _block_rows(most: int):
+    """Rows of the second pass, compared ``most`` at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of the runs still open, keyed by the bytes that all windows of the block hold, with the bytes of its windows.
+
+        state: 0 to compare with other tasks' blocks, 1 repeats a block of the same task, 2 open for sure.
+        """
+        types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int32()]
+        names = [f.split()[0] for f in BLOCKS.split(", ")]
+        out: list[list] = [[] for _ in range(8)]
 
-WINDOWS = "low long, high long, doc long, n int, first int"
+        def flush() -> Iterator[pa.RecordBatch]:
+            gram, context, doc, n, anchor, first, last = (np.array(x, np.int64) for x in out[:7])
+            compared, sure, old = _sorted_out(gram, context, doc, n, anchor)
+            state = np.zeros(len(gram), np.int64)
+            state[old], state[sure] = 1, 2
+            away = np.r_[old, sure]
+            gram[away] = _spread(doc[away], first[away]).view(np.int64)
+            held = [b if keep else b"" for b, keep in zip(out[7], state != 1, strict=True)]
+            columns = [gram, context, doc, n, anchor, first, last, held, state]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) if isinstance(x, list) else pa.array(x).cast(t) for x, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            data, bounds = _texts(batch)
+            docs, ns, runs = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "n", "runs"))
+            for k in range(len(docs)):
+                text, doc, n = data[bounds[k] : bounds[k + 1]], docs[k].as_py(), ns[k].as_py()
+                for run in runs[k].as_py():
+                    anchor = run["anchor"]
+                    for b, first, last in _blocks(anchor, run["first"], run["last"]):
+                        core = text[anchor - b * BLOCK : anchor - (b + 1) * BLOCK + 1 + THRESHOLD].tobytes()
+                        held = text[first : last + THRESHOLD].tobytes()
+                        key = hashlib.blake2b(core + b"%d" % b, digest_size=8).digest()
+                        context = hashlib.blake2b(held + b"%d/%d" % (anchor - first, last - first), digest_size=8).digest()
+                        for column, value in zip(out, (int.from_bytes(key, "big", signed=True), int.from_bytes(context, "big", signed=True), doc, n, anchor, first, last, held), strict=True):
+                            column.append(value)
+                if len(out[0]) >= most:
+                    yield from flush()
+                    out = [[] for _ in range(8)]
+        if out[0]:
+            yield from flush()
+
+    return run
+
+
+WINDOWS = "low long, high long, doc long, n int, first int, known boolean"
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the blocks still open, by a 128-bit digest."""
+    """Each window of the blocks still open, by a 128-bit digest; known: an earlier one stands in the same batch."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
-        for row in batch.to_pylist():
+        out: list[list] = [[] for _ in range(6)]
+        seen: set[bytes] = set()
+        for row in sorted(batch.to_pylist(), key=lambda r: (r["doc"], r["n"], r["first"])):
             for i in range(row["last"] - row["first"] + 1):
                 d = hashlib.blake2b(row["bytes"][i : i + THRESHOLD], digest_size=16).digest()
-                for column, value in zip(out, (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), row["doc"], row["n"], row["first"] + i), strict=True):
+                known = d in seen
+                seen.add(d)
+                if known:
+                    d = hashlib.blake2b(b"%d/%d/%d" % (row["doc"], row["n"], row["first"] + i), digest_size=16).digest()
+                for column, value in zip(out, (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), row["doc"], row["n"], row["first"] + i, known), strict=True):
                     column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [f.split()[0] for f in WINDOWS.split(", ")])
 
 
-def _radix_pass(rows: DataFrame, known: Column, place: str) -> DataFrame:
+def _radix_pass(rows: DataFrame, known: Column, sure: Column, place: str) -> DataFrame:
     """One pass over rows with gram and context: ``later`` rows repeat the windows of an earlier one, ``open`` ones share a gram with another context."""
     group = Window.partitionBy("gram")
     same = Window.partitionBy("gram").orderBy("context", "doc", "n", place)
     before = F.lag("context").over(same)
     seen = rows.withColumn("later", known | F.coalesce(before == F.col("context"), F.lit(False)))
     seen = seen.withColumn("mixed", F.min("context").over(group) != F.max("context").over(group))
-    return seen.withColumn("open", F.col("mixed") & ~F.col("later")).where("later or open").drop("mixed")
+    return seen.withColumn("open", (F.col("mixed") | sure) & ~F.col("later")).where("later or open").drop("mixed")
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,18 +331,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
     keyed = rows.select("doc", "n", "text")
 
-    found = keyed.where(F.length("text") >= THRESHOLD).mapInArrow(_anchor_rows, ANCHORS)
-    one, path_one = settle(_unpacked(_radix_pass(found, F.col("place") < 0, "place")).select("doc", "n", "anchor", "first", "last", "later", "open"), "pass1")
+    found = keyed.where(F.length("text") >= THRESHOLD).mapInArrow(_anchor_rows(CHUNK, FLUSH), ANCHORS)
+    one, path_one = settle(_unpacked(_radix_pass(found, F.col("place") < 0, (F.col("place") > 0) & (F.col("place").bitwiseAND(F.lit(_SURE)) > 0), "place")).select("doc", "n", "anchor", "first", "last", "later", "open"), "pass1")
     del found
     release(spark)
     runs = one.where("open").groupBy("doc", "n").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
-    blocks = keyed.join(runs, ["doc", "n"]).mapInArrow(_block_rows, BLOCKS)
-    two, path_two = settle(_radix_pass(blocks, F.lit(False), "anchor").drop("gram", "context"), "pass2")
+    blocks = keyed.join(runs, ["doc", "n"]).mapInArrow(_block_rows(BLOCK_FLUSH), BLOCKS)
+    two, path_two = settle(_radix_pass(blocks, F.col("state") == 1, F.col("state") == 2, "anchor").drop("gram", "context", "state"), "pass2")
     del blocks
     release(spark)
     windows = two.where("open").select("doc", "n", "first", "last", "bytes").mapInArrow(_window_rows, WINDOWS)
     rank = Window.partitionBy("low", "high").orderBy("doc", "n", "first")
-    three = windows.withColumn("rank", F.row_number().over(rank)).where("rank > 1")
+    three = windows.withColumn("rank", F.row_number().over(rank)).where("rank > 1 OR known")
     cuts = one.where("later").select("doc", "n", "first", "last")
     cuts = cuts.union(two.where("later").select("doc", "n", "first", "last")).union(three.select("doc", "n", "first", F.col("first").alias("last")))
     cuts, path_three = settle(cuts.groupBy("doc", "n").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -31,13 +32,27 @@ def found(df):
     return {i: sorted(x) for i, x in out.items()}
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 700])
-def test_against_brute_force(docs_of, monkeypatch, chunk):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize(("chunk", "flush"), [(1 << 20, 10**6), (700, 50)])
+def test_against_brute_force(docs_of, monkeypatch, chunk, flush):
+    for name, value in (("CHUNK", chunk), ("FLUSH", flush), ("BLOCK_FLUSH", flush)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     rows = corpus()
     assert found(remove_repeats(docs_of(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("flush", [10**6, 40])
+def test_common_phrases_of_every_length(docs_of, monkeypatch, flush):
+    """Phrases on both sides of the depths of the passes, each between words of its own in many texts."""
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_FLUSH", flush)
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrases = [letters(n) for n in (31, 32, 40, 68, 69, 70, 85, 99, 100, 101, 130, 180)]
+    rows = [(i, letters(rng.randint(0, 90)) + phrases[i % 12] + letters(rng.randint(0, 90))) for i in range(150)]
+    rng.shuffle(rows)
+    assert found(remove_repeats(docs_of(rows))) == brute(rows)
+
+
 def test_repeated_rows_null_ids_and_runs(docs_of):
     rows = [(5, "ab" * 200), (5, "ab" * 200), (5, "xyz" * 60), (None, "xyz" * 70), (7, "q" * 99), (8, "q" * 100), (9, "q" * 101)]
     assert found(remove_repeats(docs_of(rows))) == brute(rows)
