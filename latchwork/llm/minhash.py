@@ -131,31 +131,13 @@ def _sketches(size: int):
     return run
 
 
-class _Joined:
-    """Union-find over small numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def _linked(common: np.ndarray, a: int | np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
 
-def _crossed(hashes: np.ndarray, ends: np.ndarray, sought: list[int], joined: _Joined, percent: int) -> Iterator[tuple[int, int]]:
-    """Links of the sets ``sought`` with all sets, but for those inside what is joined already."""
-    if not sought:
+def _crossed(hashes: np.ndarray, ends: np.ndarray, sought: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of the sets ``sought`` with all sets, one for each group of equal ``label`` that they join; labels follow."""
+    if not len(sought) or not len(hashes):
         return
     codes = np.unique(hashes, return_inverse=True)[1]
     counts = np.diff(ends)
@@ -170,9 +152,11 @@ def _crossed(hashes: np.ndarray, ends: np.ndarray, sought: list[int], joined: _J
         if not lists:
             continue
         common = np.bincount(np.concatenate(lists), minlength=len(counts))
-        for v in np.flatnonzero(_linked(common, counts[u], counts, percent) & (common > 0)):
-            if v != u and joined.join(u, int(v)):
-                yield u, int(v)
+        apart = np.flatnonzero(_linked(common, counts[u], counts, percent) & (common > 0) & (label != label[u]))
+        groups, first = np.unique(label[apart], return_index=True)
+        if len(groups):
+            yield from ((int(u), int(v)) for v in apart[first])
+            label[np.isin(label, groups)] = label[u]
 
 
 def _compare(size: int, percent: int):
@@ -184,22 +168,18 @@ def _compare(size: int, percent: int):
         text = pa.concat_arrays(table["text"].chunks).cast(pa.binary())
         hashes, ends = shingle_sets(text, size)
         counts = np.diff(ends)
-        joined = _Joined(len(ids))
+        owner, label = np.repeat(np.arange(len(ids)), counts), np.arange(len(ids))
         links: list[tuple[int, int]] = []
-        apart = [int(i) for i in np.flatnonzero(roles == 2)]
+        apart = roles == 2
         for h in np.flatnonzero(roles == 0):
-            mine = hashes[ends[h] : ends[h + 1]]
-            common = np.add.reduceat(np.isin(hashes, mine).astype(np.int64), ends[:-1])
-            close = _linked(common, counts[h], counts, percent)
-            for m in np.flatnonzero(roles == 1):
-                if close[m]:
-                    joined.join(int(h), int(m))
-                    links.append((int(h), int(m)))
-                else:
-                    apart.append(int(m))
-        links += _crossed(hashes, ends, apart, joined, percent)
+            common = np.bincount(owner[np.isin(hashes, hashes[ends[h] : ends[h + 1]])], minlength=len(counts))
+            close = (roles == 1) & (common > 0) & _linked(common, counts[h], counts, percent)
+            apart |= (roles == 1) & ~close
+            label[close] = label[h]
+            links += [(int(h), int(m)) for m in np.flatnonzero(close)]
+        links += _crossed(hashes, ends, np.flatnonzero(apart), label, percent)
         hub = table["hub"][0].as_py()
-        left = apart if (roles == 0).any() else []
+        left = np.flatnonzero(apart) if (roles == 0).any() else []
         return pa.table({
             "hub": pa.array([hub] * (len(links) + len(left)), pa.int64()),
             "a": pa.array([ids[i] for i, _ in links] + [ids[i] for i in left], pa.int64()),

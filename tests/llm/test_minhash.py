@@ -73,6 +73,13 @@ def test_null_ids_repeats_and_empty(docs_of):
     assert near_duplicates(docs_of(rows).where("false")).count() == 0
 
 
+def test_rows_that_share_an_id(docs_of):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(4, None), (4, " ".join(words)), (9, None), (9, " ".join([*words[:39], "x"])), (9, ""), (12, "other words stand here alone")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs_of(rows), words=4).collect()}
+    assert got == {(4, 0, 4), (4, 37, 4), (9, 0, 9), (9, 37, 4), (12, 2, 12)}
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(7)
     order = list(range(200))
