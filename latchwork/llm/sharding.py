@@ -113,6 +113,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.sha2(text, 256).alias("digest"),
     )
+    # The texts are read once; what follows works on some sixty bytes a row.
+    rows, rows_path = settle(rows, "rows")
     groups, path = settle(rows.groupBy("digest").agg(F.sum("size").alias("size")), "groups")
     n, largest = groups.agg(F.count("*"), F.max("size")).first()
     blocks = max(1, -(-n // BLOCK_GROUPS))
@@ -130,7 +132,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     discard(spark, path)
     shard = sum((F.when(F.col("digest") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     placed = rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.xxhash64("doc_id", "digest").alias("spread"))
-    return number_slots(placed, shards)
+    out = number_slots(placed, shards)
+    discard(spark, rows_path)
+    return out
 
 
 def number_slots(placed: DataFrame, shards: int) -> DataFrame:
