@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick
+from .common import ascii_lower, pick, settle
 from .spans import of_kind, spans, written
 
 try:
@@ -141,8 +141,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("key", text_key(F.col("text")))
-    chosen = candidates(texts, rules).select(F.col("key").alias("their"), "rules")
-    rows = texts.join(chosen, F.col("key") == F.col("their"), "left")
+    # As a table of its own, so that Spark can split the copies of one text over several tasks of the join.
+    chosen, _ = settle(candidates(texts, rules).select(F.col("key").alias("their"), "rules"), "candidates")
+    rows = texts.join(chosen.hint("merge"), F.col("key") == F.col("their"), "left")
     text = F.col("text")
     found = []
     for kind, rule in enumerate(rules):
