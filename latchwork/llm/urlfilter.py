@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick
+from .common import ascii_lower, pick, settle
 
 #: Hex digits of a digest that the equi-join compares; the whole digest is compared afterwards.
 PREFIX_DIGITS = 8
@@ -75,7 +75,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rank = F.struct(F.length("rule"), F.col("rule"), F.col("verdict"))  # 'block' sorts after 'allow'
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
     best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
-    out = urls.join(best, (urls.host == best.h) & (urls.path == best.p), "left")
+    # As a table of its own, so that Spark can split the pages of one URL over several tasks of the join.
+    best, _ = settle(best, "best")
+    out = urls.join(best.hint("merge"), (urls.host == best.h) & (urls.path == best.p), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
 
 
