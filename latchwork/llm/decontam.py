@@ -96,7 +96,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     hits, hits_path = settle(hits, "hits")
     carried = hits.join(items.withColumnRenamed("words", "item_words"), "item")
     per_text = carried.groupBy(F.col("key").alias("their")).agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("hits"))
-    rows = texts.join(per_text, F.col("key") == F.col("their"), "left").withColumn("words", words_of(F.col("text")))
+    # As a table of its own, so that Spark can split the copies of one text over several tasks of the join. It grows
+    # with the corpus and takes far more memory than its files, so it isn't left to a broadcast by file size.
+    per_text, _ = settle(per_text, "per_text")
+    rows = texts.join(per_text.hint("merge"), F.col("key") == F.col("their"), "left").withColumn("words", words_of(F.col("text")))
     words, n = F.col("words"), F.size("words")
 
     def extended(h: Column) -> Column:

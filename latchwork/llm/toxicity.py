@@ -21,8 +21,10 @@ SAMPLE, VOCABULARY, LEAST_TEXTS = 20_000, 1024, 10
 BEGINNINGS, SHARED = (3, 5, 7), (1, 2, 4)
 #: Words whose beginnings a Python worker keeps.
 KEPT_WORDS = 100_000
-#: Weights of the squared weights, and of the squared score changes under swaps.
-RIDGE, FAIR = 1e-4, 10.0
+#: Texts whose features a task holds at once.
+FEATURE_ROWS = 64
+#: Weights of the squared weights (for all texts together) and of the squared score changes under swaps (for each).
+RIDGE, FAIR = 0.25, 10.0
 CUT = 0.7
 
 # Identity terms; those of a line stand for each other.
@@ -98,12 +100,14 @@ def training_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of each text, and those of its counterfactual: the text with its identity terms swapped, null if it has none."""
+    kind = pa.list_(pa.string())
     for batch in batches:
-        texts = [words_of(t) for t in batch.column(0).to_pylist()]
-        own = [features_of(w) for w in texts]
-        swapped = [features_of({SWAP.get(x, x) for x in w}) if w & SWAP.keys() else None for w in texts]
-        kind = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array(swapped, kind), batch.column(1)], ["words", "swapped", "toxic"])
+        for i in range(0, len(batch), FEATURE_ROWS):
+            part = batch.slice(i, FEATURE_ROWS)
+            texts = [words_of(t) for t in part.column(0).to_pylist()]
+            own = [features_of(w) for w in texts]
+            swapped = [features_of({SWAP.get(x, x) for x in w}) if w & SWAP.keys() else None for w in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array(swapped, kind), part.column(1)], ["words", "swapped", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
@@ -158,7 +162,7 @@ def _descend(x: np.ndarray, y: np.ndarray, moved: np.ndarray, steps: int = 250,
     for k in range(1, steps + 1):
         single = w.astype(np.float32)  # as the features are: no copy of them is made
         error = 1 / (1 + np.exp(-np.clip(x @ single + np.float32(b), -30, 30))) - y
-        slope = error @ x / len(y) + RIDGE * w
+        slope = (error @ x + RIDGE * w) / len(y)
         if len(moved):
             slope += 2 * FAIR * ((moved @ single) @ moved) / len(moved)
         g = np.r_[slope, error.mean()]
