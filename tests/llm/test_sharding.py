@@ -69,3 +69,41 @@ def test_hot_group_few_groups_and_no_rows(docs_of):
     check(rows, shard_by_bytes(docs_of(rows), 4).collect(), 4)
     check(rows[:2], shard_by_bytes(docs_of(rows[:2]), 4).collect(), 4)
     assert shard_by_bytes(docs_of(rows).where("false"), 4).count() == 0
+
+
+@pytest.mark.parametrize("limit", [500_000, 2])
+def test_hot_groups_leave_no_shard_empty(monkeypatch, limit):
+    monkeypatch.setattr(sharding, "DRIVER_GROUPS", limit)
+    rng = random.Random(7)
+    for hot in ([300], [700], [501], [0], [999], [200, 201, 640], list(range(30, 990, 64))[:9]):
+        groups = [(f"{k:04}", rng.randint(50, 150)) for k in range(1000)]
+        rest = sum(s for k, (_, s) in enumerate(groups) if k not in hot)
+        for k in hot:  # together a third, or nine of a sixteenth and more each
+            groups[k] = (groups[k][0], rest // 2 // len(hot) if len(hot) < 9 else rest // 4)
+        blocks = [groups[b : b + 50] for b in range(0, 1000, 50)]
+        order = Ordered([sum(s for _, s in b) for b in blocks], lambda some, blocks=blocks: {i: blocks[i] for i in some})
+        largest = max(s for _, s in groups)
+        capacity, cuts = smallest_capacity(order, 16, largest)
+        loads, names = [0] * 16, [[] for _ in range(16)]
+        for k, (digest, size) in enumerate(groups):
+            i = sum(digest >= c for c in cuts)
+            loads[i] += size
+            names[i].append(k)
+        assert capacity == max(loads) == brute([s for _, s in groups], 16)
+        assert min(loads) > 0
+        if len(hot) == 1:
+            others = [x for x, n in zip(loads, names, strict=True) if n != hot]
+            even = rest / 15
+            assert len(others) == 15 and max(others) < 1.2 * even and min(others) > 0.7 * even
+
+
+def test_hot_group_of_a_third(docs_of):
+    rows = [(i, "the same text") for i in range(200)] + [(1000 + i, f"text number {i}") for i in range(400)]
+    got = shard_by_bytes(docs_of(rows), 16).collect()
+    check(rows, got, 16)
+    loads, hot = {}, {r.shard for r in got if r.doc_id < 1000}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    assert len(loads) == 16 and len(hot) == 1 and loads[min(hot)] == 200 * 14
+    others = [n for s, n in loads.items() if s not in hot]
+    assert max(others) < 1.3 * sum(others) / 15 and min(others) > 0.6 * sum(others) / 15
