@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from .common import bounded_batches, discard, pick, release, settle
 
 U = np.uint64
@@ -196,6 +197,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(id, component): the smallest id that each id of ``links`` (a, b) reaches; the smallest ids themselves have no row.
 
     Alternating stars: every node's neighbours move to its smallest neighbour, until no edge changes.
+    Edges that still change after ``most_rounds`` are an error.
     """
     spark = links.sparkSession
     edges, path = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -213,6 +215,8 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise EngineError("traversal/limit-exceeded", f"components aren't settled after {most_rounds} rounds")
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from latchwork.errors import EngineError
 from latchwork.llm import minhash
 from latchwork.llm.minhash import components, near_duplicates
 
@@ -88,3 +89,10 @@ def test_components_of_long_chains(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     for part in (order[:51], order[51:121], order[121:]):
         assert {got.get(i, i) for i in part} == {min(part)} and min(part) not in got
+
+
+def test_unsettled_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(EngineError, match="traversal/limit-exceeded"):
+        components(chain, most_rounds=2)
+    assert {r.component for r in components(chain).collect()} == {0}
