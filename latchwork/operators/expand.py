@@ -72,13 +72,16 @@ def expand(schema: Schema, edges: DataFrame, resource_type: str, name: str, reso
 
 
 def as_tree(nodes: DataFrame, leaves: DataFrame) -> dict:
-    """The nested tree of one root; both tables are within the limits of ``expand``."""
+    """The nested tree of one root, made on the driver: more than MOST_NODES nodes and leaves together are an error. Larger trees stay the two tables."""
+    rows = nodes.limit(MOST_NODES + 1).collect()
+    held = leaves.limit(max(0, MOST_NODES - len(rows)) + 1).collect()
+    if len(rows) + len(held) > MOST_NODES:
+        raise EngineError("permission-tree/limit-exceeded", f"more than {MOST_NODES} nodes and leaves", limit="leaves" if len(rows) <= MOST_NODES else "nodes")
     subjects: dict[str, list] = {}
-    for r in sorted(leaves.collect(), key=lambda r: (r.path, r.subject_type, str(r.subject_id))):
+    for r in sorted(held, key=lambda r: (r.path, r.subject_type, str(r.subject_id))):
         subjects.setdefault(r.path, []).append({"type": r.subject_type, "id": r.subject_id})
     made, children, top = {}, {}, None
-    rows = sorted(nodes.collect(), key=lambda r: (r.depth, r.path))
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r.depth, r.path)):
         node = {"object": {"type": r.object_type, "id": r.object_id}, "name": r.name}
         node |= {"leaf": {"subjects": subjects.get(r.path, [])}} if r.kind == "leaf" else {"intermediate": {"operation": "union", "children": children.setdefault(r.path, [])}}
         made[r.path] = node

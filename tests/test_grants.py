@@ -101,3 +101,15 @@ def test_expansion(spark):
     with pytest.raises(EngineError) as e:
         expand.expand(cyclic, loop, "folder", "view", spark.createDataFrame([("a",)], "resource_id string"))
     assert e.value.code == "permission-tree/cycle-detected"
+
+
+def test_leaves_count_into_the_limit_of_a_tree(spark, monkeypatch):
+    schema = Schema.of("definition user {}\ndefinition doc {\n relation owner: user\n permission view = owner\n}\n")
+    df = table(spark, [("user", f"u{i}", "owner", "doc", "d") for i in range(8)])
+    nodes, leaves = expand.expand(schema, df, "doc", "view", spark.createDataFrame([("d",)], "resource_id string"))
+    monkeypatch.setattr(expand, "MOST_NODES", 9)
+    with pytest.raises(EngineError, match="permission-tree/limit-exceeded"):
+        expand.as_tree(nodes, leaves)
+    assert leaves.count() == 8
+    monkeypatch.setattr(expand, "MOST_NODES", 10)
+    assert len(expand.as_tree(nodes, leaves)["intermediate"]["children"][0]["leaf"]["subjects"]) == 8
