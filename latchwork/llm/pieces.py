@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,9 +23,55 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids a Python worker keeps between batches, and characters of text in one step.
 CACHE_SEGMENTS, STEP_CHARS = 400_000, 1 << 21
+#: Symbols from which a run is merged with a heap of its own; shorter ones take one merge a round, all at once.
+LONG_RUN = 96
 _WORD = 8
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a protocol buffer message: numbers, or bytes as they are."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+def require_supported(proto: bytes) -> None:
+    """Refuses a model whose ids this encoder wouldn't reproduce."""
+    parts = dict(_fields(proto))  # of the repeated pieces only the last one is kept
+    trainer, normalizer = dict(_fields(parts.get(2, b""))), dict(_fields(parts.get(3, b"")))
+    # Field numbers of the public model format, and their defaults.
+    for what, found, needed in (
+        ("a BPE model", trainer.get(3, 1), 2),
+        ("byte fallback", trainer.get(35, 0), 1),
+        ("no suffix marks", trainer.get(24, 0), 0),
+        ("the identity normaliser", normalizer.get(1, b""), b"identity"),
+        ("no normaliser rules", normalizer.get(2, b""), b""),
+        ("a space before the text", normalizer.get(3, 1), 1),
+        ("white space as it is", normalizer.get(4, 1), 0),
+        ("spaces as a mark", normalizer.get(5, 1), 1),
+    ):
+        if found != needed:
+            raise ValueError(f"the encoder needs {what}; the model has {found!r}")
+
+
 class Pieces:
     """A BPE model's pieces, and the encoder of segments that no piece crosses.
 
@@ -34,6 +83,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        require_supported(model.serialized_model_proto())
         n = model.get_piece_size()
         self.byte_id = np.zeros(256, np.int32)
         self.bytes_of: list[bytes] = []
@@ -55,6 +105,8 @@ class Pieces:
         self.ids = np.array([i for _, i, _ in found], np.int32)
         self.scores = np.array([s for _, _, s in found])
         self.lengths = np.array([len(p) for p in self.pieces])
+        #: A start times this, plus a length, makes an edge's code.
+        self.unit = int(self.lengths.max()) + 1
         self.words = -(-int(self.lengths.max()) // _WORD)
         padded = np.zeros((len(found), self.words * _WORD), np.uint8)
         for k, p in enumerate(self.pieces):
@@ -123,7 +175,7 @@ class Pieces:
             prior[longer[met]] = at[met]
             rank = np.cumsum(fresh) - 1
         start, piece = np.concatenate(where), np.concatenate(what)
-        code = start * 256 + self.lengths[piece]
+        code = start * self.unit + self.lengths[piece]
         by = np.argsort(code)
         return start[by], self.lengths[piece[by]], piece[by]
 
@@ -133,20 +185,50 @@ class Pieces:
         Segments begin at ``segment_begin`` and end with a zero byte. Edges are relaxed by
         the model's own rule: of the edges that span two neighbouring symbols of a segment,
         the one of the best score, the leftmost of equal ones, makes them one, as long
-        as there is any.
+        as there is any. No merge crosses a place that no edge spans, so segments fall
+        into runs there first. Short runs are merged together, long ones with a heap
+        each, so the time grows as n log n whatever the text.
         """
         start, length, piece = self.edges(data)
-        codes = start * 256 + length
+        codes = start * self.unit + length
         lead = np.flatnonzero(((data & 0xC0) != 0x80) & (data != 0))
         stop = np.flatnonzero(data == 0)
         owner = np.searchsorted(segment_begin, lead, side="right") - 1
         end = np.minimum(np.r_[lead[1:], len(data)], stop[owner])
+        spanned = np.zeros(len(data) + 1, np.int64)
+        np.add.at(spanned, start + 1, 1)
+        np.add.at(spanned, start + length, -1)
+        apart = np.r_[True, owner[1:] != owner[:-1]] | (np.cumsum(spanned)[lead] <= 0)
+        run = np.cumsum(apart) - 1
+        begin = np.r_[np.flatnonzero(apart), len(lead)]
+        long = np.diff(begin) > LONG_RUN
+        alive = self._in_rounds(lead, end, run, np.flatnonzero(~long[run]), codes, piece)
+        for r in np.flatnonzero(long):
+            a, b = int(begin[r]), int(begin[r + 1])
+            lo, hi = (int(x) for x in np.searchsorted(codes, [lead[a] * self.unit, int(end[b - 1]) * self.unit]))
+            alive[a:b] = self._by_heap(lead[a:b], end[a:b], codes[lo:hi], piece[lo:hi])
+        kept = np.flatnonzero(alive)
+        code = lead[kept] * self.unit + np.minimum(end[kept] - lead[kept], self.unit - 1)
+        at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+        known = codes[at] == code if len(codes) else np.zeros(len(kept), bool)
+        # Symbols without a piece are single characters: their bytes stand for them.
+        count = np.where(known, 1, end[kept] - lead[kept])
+        out = np.empty(count.sum(), np.int32)
+        first = np.cumsum(count) - count
+        out[first[known]] = self.ids[piece[at[known]]]
+        rest = np.flatnonzero(~known)
+        for k in range(int(count[rest].max()) if len(rest) else 0):
+            more = rest[count[rest] > k]
+            out[first[more] + k] = self.byte_id[data[lead[kept[more]] + k]]
+        return out, np.bincount(owner[kept], weights=count, minlength=len(segment_begin)).astype(np.int64)
+
+    def _in_rounds(self, lead: np.ndarray, end: np.ndarray, run: np.ndarray, active: np.ndarray, codes: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Merges the runs of ``active`` symbols, one edge in each of them a round; ``end`` follows. Returns which symbols are left."""
         m = len(lead)
         follow = np.arange(1, m + 1)
-        last = np.r_[owner[1:] != owner[:-1], True]
-        follow[last] = -1
+        follow[np.r_[run[1:] != run[:-1], True][:m]] = -1
         before = np.arange(-1, m - 1)
-        before[np.r_[True, owner[1:] != owner[:-1]]] = -1
+        before[np.r_[True, run[1:] != run[:-1]][:m]] = -1
         alive = np.ones(m, bool)
         best = np.full(m, -np.inf)
 
@@ -155,16 +237,15 @@ class Pieces:
             i = i[follow[i] >= 0]
             j = follow[i]
             span = end[j] - lead[i]
-            code = lead[i] * 256 + np.minimum(span, 255)
+            code = lead[i] * self.unit + np.minimum(span, self.unit - 1)
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            ok = (codes[at] == code) & (span < 256) if len(codes) else np.zeros(len(i), bool)
+            ok = (codes[at] == code) & (span < self.unit) if len(codes) else np.zeros(len(i), bool)
             best[i[ok]] = self.scores[piece[at[ok]]]
 
-        score(np.arange(m))
-        active = np.arange(m)
+        score(active)
         while len(active):
-            # Segments in which some edge spans two symbols; one edge is taken in each.
-            groups = np.flatnonzero(np.r_[True, owner[active][1:] != owner[active][:-1]])
+            # Runs in which some edge spans two symbols; one edge is taken in each.
+            groups = np.flatnonzero(np.r_[True, run[active][1:] != run[active][:-1]])
             size = np.diff(np.r_[groups, len(active)])
             top = np.maximum.reduceat(best[active], groups)
             live = np.repeat(top > -np.inf, size)
@@ -184,20 +265,42 @@ class Pieces:
             prev = before[i]
             score(np.concatenate([i, prev[prev >= 0]]))
             active = active[live & alive[active]]
-        kept = np.flatnonzero(alive)
-        code = lead[kept] * 256 + np.minimum(end[kept] - lead[kept], 255)
+        return alive
+
+    def _by_heap(self, lead: np.ndarray, end: np.ndarray, codes: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Merges one run whose edges have ``codes``; ``end`` follows. Returns which symbols are left."""
+        unit, m = self.unit, len(lead)
+        begins, ends = lead.tolist(), end.tolist()
+        follow, before = list(range(1, m)) + [-1], list(range(-1, m - 1))
+        alive = bytearray(b"\1") * m
+        listed, costs = array("q", codes.astype(np.int64).tobytes()), array("d", (-self.scores[piece]).tobytes())
+        span = end[1:] - lead[:-1]
+        code = lead[:-1] * unit + np.minimum(span, unit - 1)
         at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-        known = codes[at] == code if len(codes) else np.zeros(len(kept), bool)
-        # Symbols without a piece are single characters: their bytes stand for them.
-        count = np.where(known, 1, end[kept] - lead[kept])
-        out = np.empty(count.sum(), np.int32)
-        first = np.cumsum(count) - count
-        out[first[known]] = self.ids[piece[at[known]]]
-        rest = np.flatnonzero(~known)
-        for k in range(int(count[rest].max()) if len(rest) else 0):
-            more = rest[count[rest] > k]
-            out[first[more] + k] = self.byte_id[data[lead[kept[more]] + k]]
-        return out, np.bincount(owner[kept], weights=count, minlength=len(segment_begin)).astype(np.int64)
+        first = np.flatnonzero((codes[at] == code) & (span < unit)) if len(codes) else np.zeros(0, np.int64)
+        # The best score, then the leftmost; an entry whose symbols have changed since is passed over.
+        heap = list(zip((-self.scores[piece[at[first]]]).tolist(), first.tolist(), end[first + 1].tolist(), strict=True))
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = follow[i]
+            if not alive[i] or j < 0 or ends[j] != stop:
+                continue
+            ends[i], alive[j] = stop, 0
+            k = follow[i] = follow[j]
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a < 0 or b < 0:
+                    continue
+                wide = ends[b] - begins[a]
+                if wide < unit:
+                    sought = begins[a] * unit + wide
+                    place = bisect_left(listed, sought)
+                    if place < len(listed) and listed[place] == sought:
+                        heapq.heappush(heap, (costs[place], a, ends[b]))
+        end[:] = ends
+        return np.frombuffer(bytes(alive), bool)
 
     def learn(self, segments: list[str]) -> None:
         """Encodes segments that aren't known yet; a zero byte never is part of a piece and parts them."""
@@ -246,12 +349,13 @@ def _loaded(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _model_path(name: str, shipped: bool) -> str:
-    if shipped:
-        from pyspark import SparkFiles
+def _model_path(model: str) -> str:
+    """The model where it stands on this machine, else the copy that Spark sent along."""
+    if "://" not in model and os.path.isfile(model):
+        return model
+    from pyspark import SparkFiles
 
-        return SparkFiles.get(name)
-    return name
+    return SparkFiles.get(os.path.basename(model))
 
 
 def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -273,20 +377,20 @@ def encode_texts(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     Null and empty texts have no ids and decode to the empty text. Texts with U+2581
     decode with a space in its place, as the model can't tell them apart. Null doc_ids
-    and repeated rows keep a row each. An empty table gives an empty result.
+    and repeated rows keep a row each. Further columns, of any name, are ignored. An
+    empty table gives an empty result. A very long text takes time n log n and memory in
+    proportion, with white space or without.
 
-    The model file is read where it stands on every machine if it stands there, and is
-    sent along by Spark otherwise.
+    Spark sends the model file along; machines on which it stands under its own path
+    read it there. A model of another kind (not BPE, without byte fallback, with a
+    normaliser) is refused with an error.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shipped = not os.path.isfile(model) if "://" in model else False
-    if shipped:
-        spark.sparkContext.addFile(model)
-    name = os.path.basename(model) if shipped else model
+    spark.sparkContext.addFile(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _loaded(_model_path(name, shipped))
+        pieces = _loaded(_model_path(model))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in _steps(texts):
