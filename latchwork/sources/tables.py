@@ -6,10 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A setting of Spark from 4.0 on; earlier ones ignore it.
+_END_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @cache
 def _own_dir() -> str:
@@ -29,11 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir()
 
 
+@contextmanager
+def ended_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside let go of their shuffle files as soon as an action on them has ended; the session's own setting comes back."""
+    before = spark.conf.get(_END_SHUFFLES, None)
+    spark.conf.set(_END_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_END_SHUFFLES)
+        else:
+            spark.conf.set(_END_SHUFFLES, before)
+
+
 def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder and reads it again: lineage ends there. Returns it and its path."""
+    """Writes a table to the shared folder and reads it again: lineage ends there. Returns it and its path.
+
+    Once it is written, nothing reads the shuffles behind it any more, so their files go
+    then and not when the driver's garbage collector finds them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/latchwork-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with ended_shuffles(spark):
+        df.select("*").write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
