@@ -13,8 +13,8 @@ BREAKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
 WINDOW, GRAM = 10, 5
 #: A packed fingerprint: hash above, position (in words) in the lower bits.
 POSITION_BITS = 30
-#: Fingerprints of the benchmark up to which they are broadcast (some 20 MB); more of them are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Fingerprints of the benchmark (some 20 MB), and keys of texts with hits (some 40 MB), up to which they are broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_KEYS = 500_000, 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -60,70 +60,93 @@ def _exploded(rows: DataFrame, short: list[int]) -> DataFrame:
     return packed.select(*[c for c in packed.columns if c != "packed"], F.shiftright("packed", POSITION_BITS).alias("print"), at.alias("at"))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Finds benchmark windows in every whole text of ``docs`` (doc_id, text).
 
     A window is WINDOW consecutive words of an item (item_id, text), or the whole item
-    where it has fewer words. Returns doc_id, text, words, hit (the places of the words
-    inside any occurrence of a window, each once, unordered) and items (the item_ids
-    with occurring windows, as sorted strings). ``keep`` names further columns to return.
+    where it has fewer words. Returns doc_id, words, hit (the places of the words inside
+    any occurrence of a window, each once, unordered) and items (the item_ids with
+    occurring windows, as sorted strings).
 
     Null texts and texts without words hold nothing and match nothing. Null doc_ids and
-    repeated rows keep a row each; a null item_id is the empty string. An empty
-    benchmark or table of documents gives no hits or no rows.
+    repeated rows keep a row each; a null item_id is the empty string. Further columns,
+    of any name, are ignored. An empty benchmark or table of documents gives no hits or
+    no rows. Very long texts are read whole and stay in one row; they grow by one
+    fingerprint for some three words.
+    """
+    return _overlaps(pick(docs, "doc_id", "text"), "doc_id", benchmark)
+
+
+def _overlaps(texts: DataFrame, keep: str, benchmark: DataFrame) -> DataFrame:
+    """(keep, words, hit, items) of each row of ``texts`` (keep, text).
 
     Texts give few fingerprints, which meet those of the benchmark; hits are kept once
     for each different text, offset and item, and each is extended on the words
-    themselves, so a chance hit of a hash never counts.
+    themselves, so a chance hit of a hash never counts. Only texts with hits go through
+    a shuffle, to meet these; all others end where they are read.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     items = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words"))
-    items, items_path = settle(items.where(F.size("words") > 0).distinct(), "items")
+    items, items_path = settle(items.where(F.size("words") > 0).distinct().withColumn("number", F.monotonically_increasing_id()), "items")
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect())
-    texts = pick(docs, "doc_id", "text", *keep).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    listed = items.withColumn("item_words", F.col("words"))
-    long_items = _exploded(listed.where(F.size("words") >= WINDOW), [])
-    short_items = listed.where(F.size("words") < WINDOW).select(
-        "item", "item_words",
+    texts = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    long_items = _exploded(items.where(F.size("words") >= WINDOW).select("number", "words"), [])
+    short_items = items.where(F.size("words") < WINDOW).select(
+        "number",
         F.shiftright(_packed(F.xxhash64(F.size("words"), F.transform("words", lambda w: F.xxhash64(w))), F.lit(0)), POSITION_BITS).alias("print"),
         F.lit(0).alias("at"),
-    )
+    )
     prints, prints_path = settle(long_items.unionByName(short_items), "prints")
-    known = prints.select("item", "print", F.col("at").alias("item_at"))
+    known = prints.select("number", "print", F.col("at").alias("item_at"))
     known = F.broadcast(known) if prints.count() <= BROADCAST_ROWS else known
     sought = _exploded(texts.select("key", words_of(F.col("text")).alias("words")), short)
-    hits = sought.join(known, "print").select("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits, hits_path = settle(hits, "hits")
-    carried = hits.join(items.withColumnRenamed("words", "item_words"), "item")
-    per_text = carried.groupBy(F.col("key").alias("their")).agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("hits"))
+    hits = sought.join(known, "print").select("key", "number", (F.col("at") - F.col("item_at")).alias("shift"))
+    # An item's words are carried once for each text that it meets, with all its offsets there.
+    per_item = hits.groupBy("key", "number").agg(F.collect_set("shift").alias("shifts")).join(items.withColumnRenamed("words", "item_words"), "number")
+    per_text = per_item.groupBy(F.col("key").alias("their")).agg(F.collect_list(F.struct("item", "shifts", "item_words")).alias("hits"))
     # As a table of its own, so that Spark can split the copies of one text over several tasks of the join. It grows
     # with the corpus and takes far more memory than its files, so it isn't left to a broadcast by file size.
     per_text, _ = settle(per_text, "per_text")
-    rows = texts.join(per_text.hint("merge"), F.col("key") == F.col("their"), "left").withColumn("words", words_of(F.col("text")))
+    discard(spark, prints_path, items_path)
+    parts = [texts]
+    if per_text.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(per_text.select("their"))
+        parts = [texts.join(keys, F.col("key") == F.col("their"), how) for how in ("left_semi", "left_anti")]
+    met = parts[0].join(per_text.hint("merge"), F.col("key") == F.col("their"), "left").withColumn("words", words_of(F.col("text")))
     words, n = F.col("words"), F.size("words")
 
     def extended(h: Column) -> Column:
         size = F.least(F.size(h["item_words"]), F.lit(WINDOW))
         first = F.sequence(F.lit(0), F.size(h["item_words"]) - size)
-        inside = lambda q: (q + h["shift"] >= 0) & (q + h["shift"] + size <= n)
-        same = lambda q: F.when(inside(q), F.slice(words, q + h["shift"] + 1, size) == F.slice(h["item_words"], q + 1, size)).otherwise(False)
-        starts = F.transform(F.filter(first, same), lambda q: q + h["shift"])
-        return F.struct(h["item"].alias("item"), F.flatten(F.transform(starts, lambda s: F.sequence(s, s + size - 1))).alias("hit"))
+
+        def starts(shift: Column) -> Column:
+            inside = lambda q: (q + shift >= 0) & (q + shift + size <= n)
+            same = lambda q: F.when(inside(q), F.slice(words, q + shift + 1, size) == F.slice(h["item_words"], q + 1, size)).otherwise(False)
+            return F.transform(F.filter(first, same), lambda q: q + shift)
+
+        every = F.array_distinct(F.flatten(F.transform(h["shifts"], starts)))
+        return F.struct(h["item"].alias("item"), F.flatten(F.transform(every, lambda s: F.sequence(s, s + size - 1))).alias("hit"))
 
     proven = F.filter(F.transform("hits", extended), lambda h: F.size(h["hit"]) > 0)
-    rows = rows.select("doc_id", "text", *keep, "words", F.when(F.col("hits").isNotNull(), proven).alias("proven"))
-    none = F.col("proven").isNull()
-    return rows.select(
-        "doc_id", "text", *keep, "words",
-        F.when(none, F.array().cast("array<int>")).otherwise(F.array_distinct(F.flatten(F.transform("proven", lambda h: h["hit"])))).alias("hit"),
-        F.when(none, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform("proven", lambda h: h["item"])))).alias("items"),
+    no_hit, no_item = F.array().cast("array<int>"), F.array().cast("array<string>")
+    found = met.select(keep, "words", F.when(F.col("hits").isNotNull(), proven).alias("proven")).select(
+        keep, "words",
+        F.coalesce(F.array_distinct(F.flatten(F.transform("proven", lambda h: h["hit"]))), no_hit).alias("hit"),
+        F.coalesce(F.array_sort(F.array_distinct(F.transform("proven", lambda h: h["item"]))), no_item).alias("items"),
     )
+    if len(parts) > 1:
+        found = found.union(parts[1].select(keep, words_of(F.col("text")).alias("words"), no_hit.alias("hit"), no_item.alias("items")))
+    return found
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of the rows of ``docs`` whose text holds no window of the benchmark."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return find_overlaps(docs, benchmark, others).where(F.size("hit") == 0).select(*docs.columns)
+    """All columns of the rows of ``docs`` (text and others, of any name, also twice) whose text holds no window of the benchmark.
+
+    Null texts hold none and stay; repeated rows stay or go together; an empty table stays empty.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    texts = plain.select(F.struct("*").alias("row"), F.col(f"c{docs.columns.index('text')}").alias("text"))
+    return _overlaps(texts, "row", benchmark).where(F.size("hit") == 0).select("row.*").toDF(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
 
-from latchwork.llm.common import pick
+import pytest
+
+from latchwork.llm import decontam
 from latchwork.llm.decontam import find_overlaps, keep_clean
 
 from .conftest import corpus
@@ -29,7 +31,10 @@ def brute(rows, items):
     return sorted(out)
 
 
-def test_against_brute_force(spark, docs_of):
+@pytest.mark.parametrize("limits", [(500_000, 1_000_000), (0, 0)])
+def test_against_brute_force(spark, docs_of, monkeypatch, limits):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limits[0])
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", limits[1])
     rng = random.Random(4)
     rows = corpus()
     texts = [t for _, t in rows if t and len(t.split()) > 30]
@@ -44,7 +49,8 @@ def test_against_brute_force(spark, docs_of):
     found = find_overlaps(docs_of(rows), bench).collect()
     assert sorted((str(r.doc_id), len(r.words), sorted(r.hit), list(r.items)) for r in found) == brute(rows, items)
     clean = [r for r in brute(rows, items) if not r[2]]
-    assert keep_clean(pick(docs_of(rows), "doc_id", "text"), bench).count() == len(clean)
+    kept = keep_clean(docs_of(rows), bench)  # its other columns clash with names inside
+    assert kept.columns == docs_of(rows).columns and kept.count() == len(clean)
 
 
 def test_one_word_many_times(spark, docs_of):
@@ -54,6 +60,15 @@ def test_one_word_many_times(spark, docs_of):
     assert sorted((str(r.doc_id), len(r.words), sorted(r.hit), list(r.items)) for r in find_overlaps(docs_of(rows), bench).collect()) == brute(rows, items)
 
 
+def test_a_repetitive_text_and_item(spark, docs_of):
+    rng = random.Random(6)
+    phrase = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(phrase * 60)), (2, " ".join(rng.sample(phrase * 50, 900))), (3, " ".join(phrase[3:12]))]
+    items = [("x", " ".join(phrase * 8)), ("y", " ".join(phrase[5:16]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert sorted((str(r.doc_id), len(r.words), sorted(r.hit), list(r.items)) for r in find_overlaps(docs_of(rows), bench).collect()) == brute(rows, items)
+
+
 def test_empty_tables(spark, docs_of):
     bench = spark.createDataFrame([("x", "a b c")], "item_id string, text string")
     docs = docs_of([(1, "a b c")])
