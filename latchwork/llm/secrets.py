@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick, settle
+from .common import LOWER, UPPER, ascii_lower, pick, settle
 from .spans import of_kind, spans, written
 
 try:
@@ -21,6 +21,8 @@ except ImportError:  # Python before 3.11
 
 #: Exact strings of a pattern's part that a trigram query may list; a larger set says nothing.
 MOST_STRINGS = 64
+#: Candidate texts (their keys and rules, some 100 MB) up to which they are broadcast; more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -42,16 +44,21 @@ RULES = (
     Rule("github", r"ghp_[A-Za-z0-9]{36}"),
 )
 BASE = 3
+_ASCII_LOWER = str.maketrans(UPPER, LOWER)
+#: What Java and Python read alike; other constructs of a pattern are refused, since its trigrams might not be mandatory then.
+_ALIKE = {"LITERAL", "NOT_LITERAL", "IN", "ANY", "SUBPATTERN", "BRANCH", "MAX_REPEAT", "MIN_REPEAT", "AT"}
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
-    """Boolean trigram query of a pattern: an AND of ORs of ANDs, trigrams in lower case.
+    """Boolean trigram query of a pattern: an AND of ORs of ANDs, trigrams with A-Z in lower case.
 
     Each outer element stands for one stretch of the pattern whose strings are known:
     some one of its alternatives must occur, that is all trigrams of the alternative.
     An empty query means that no trigram is mandatory.
     """
     query: list[list[frozenset[str]]] = []
+    parsed = sre_parse.parse(pattern)
+    _require_plain(parsed, pattern)
 
     def close(strings: set[str]) -> None:
         if strings and min(map(len, strings)) >= 3:
@@ -60,7 +67,7 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     def exact(node) -> set[str] | None:
         op, arg = node
         if op is sre_constants.LITERAL:
-            return {chr(arg).lower()}
+            return {chr(arg).translate(_ASCII_LOWER)}
         if op is sre_constants.SUBPATTERN:
             return whole(arg[3])
         if op is sre_constants.BRANCH:
@@ -95,10 +102,24 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
                 walk(node[1][2])
         close(run)
 
-    walk(sre_parse.parse(pattern))
+    walk(parsed)
     return query
 
 
+def _require_plain(nodes, pattern: str) -> None:
+    """Refuses constructs that Java's and Python's patterns don't share."""
+    for op, arg in nodes:
+        if str(op) not in _ALIKE:
+            raise ValueError(f"{pattern!r} has {op}, which the trigram query doesn't know")
+        if op is sre_constants.SUBPATTERN:
+            _require_plain(arg[3], pattern)
+        elif op is sre_constants.BRANCH:
+            for part in arg[1]:
+                _require_plain(part, pattern)
+        elif op in (sre_constants.MAX_REPEAT, sre_constants.MIN_REPEAT):
+            _require_plain(arg[2], pattern)
+
+
 def text_key(text: Column) -> Column:
     """Key by which rows meet what was found in equal texts."""
     return F.xxhash64(text)
@@ -137,13 +158,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     shorter than the rule asks are dropped without another try.
 
     Null texts count as empty and have no spans. Null doc_ids, repeated rows and equal
-    texts keep a row each. An empty table gives an empty result.
+    texts keep a row each. Further columns, of any name, are ignored. An empty table
+    gives an empty result. Very long texts are read whole. Texts aren't shuffled while
+    no more than BROADCAST_KEYS different ones are candidates.
     """
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("key", text_key(F.col("text")))
     # As a table of its own, so that Spark can split the copies of one text over several tasks of the join.
     chosen, _ = settle(candidates(texts, rules).select(F.col("key").alias("their"), "rules"), "candidates")
-    rows = texts.join(chosen.hint("merge"), F.col("key") == F.col("their"), "left")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen.hint("merge")
+    rows = texts.join(chosen, F.col("key") == F.col("their"), "left")
     text = F.col("text")
     found = []
     for kind, rule in enumerate(rules):
@@ -170,11 +194,28 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def python_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
-    """The same spans with Python's re alone, for small fixtures."""
-    out = []
-    for kind, r in enumerate(rules):
-        for m in re.finditer(r.pattern, text or ""):
-            if len(m.group(r.group)) >= r.least:
-                out.append((m.start(), kind, m.end()))
-    return sorted(out)
+_PEM, _GITHUB = (r.pattern for r in RULES[BASE:])
+#: ASCII letters in either case are written out: a pattern's own flag would take further characters for them.
+OP6_SQL = rf"""
+WITH k(kind, name, pat, part, least) AS (VALUES
+  (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]{{24,}}', 0, 24), (3, 'pem', '{_PEM}', 0, 0), (4, 'github', '{_GITHUB}', 0, 0)
+), h AS (
+  SELECT doc_id, kind, name, pat, part, least, regexp_extract_all(x, pat) AS hits, regexp_split_to_array(x, pat) AS gaps
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents), k WHERE regexp_matches(x, pat)
+), s AS (
+  SELECT doc_id, kind, name, part, least, pat, hits[i] AS hit,
+         list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(g) for g in hits[1:i - 1]]), 0) AS b
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)
+), f AS (
+  SELECT doc_id, kind, name, CAST(b AS BIGINT) AS b, CAST(b + length(hit) AS BIGINT) AS e
+  FROM s WHERE length(CASE part WHEN 2 THEN regexp_extract(hit, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE hit END) >= least
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind, e) FILTER (kind < {BASE}) AS base, string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind, e) AS spans
+  FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
