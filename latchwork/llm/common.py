@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import discard, settle
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "bounded_batches", "discard", "pick", "release", "settle"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "bounded_batches", "discard", "pick", "settle"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,10 +37,3 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished passes: its cleaner follows the driver's garbage collector."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works beside the driver

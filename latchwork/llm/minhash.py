@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from .common import bounded_batches, discard, pick, release, settle
+from .common import bounded_batches, discard, pick, settle
 
 U = np.uint64
 #: Stands for a null doc_id.
@@ -229,8 +229,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Null and empty texts, and those of white space only, have no shingles and link with
     nothing. A null doc_id counts as the smallest id and gives a null component_id.
-    Rows that share a doc_id are one node. Repeated rows keep a row each. An empty table
-    gives an empty result.
+    Rows that share a doc_id are one node. Repeated rows keep a row each. Further
+    columns, of any name, are ignored. An empty table gives an empty result. A very long
+    text is a part of its own where members are compared.
 
     Sets that are equal are one node from the start. The hub of a band's bucket is the
     member that meets most others over all bands, so that of a group of near copies it
@@ -253,7 +254,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     stars = filed.select("key", "node", "n").join(hubs, "key").where("node <> hub").select("hub", "node", "n").distinct()
     stars, star_path = settle(stars, "stars")
     discard(spark, filed_path)
-    release(spark)
 
     parts = stars.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)).cast("int").alias("parts"))
     placed = stars.join(parts, "hub").select("hub", F.col("node").alias("id"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
@@ -261,10 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # The ids grow with the corpus, so they are not broadcast: the texts of all members are picked out by one shuffle.
     members = stars.select(F.col("node").alias("id")).union(stars.select("hub")).distinct()
     told, told_path = settle(texts.join(members.hint("merge"), "id", "left_semi"), "members")
-    release(spark)
     tested = placed.union(central).join(told.hint("merge"), "id").select("hub", "part", "id", "role", "text")
     tested, tested_path = settle(tested.groupBy("hub", "part").applyInArrow(_compare(words, percent), LINKS), "tested")
-    release(spark)
     links = tested.where("b is not null").select("a", "b")
     # Members that their hub doesn't link, of hubs with several parts: each meets the other parts too, block by block.
     open_ = tested.where("b is null").select("hub", F.col("a").alias("id")).distinct().join(parts.where("parts > 1"), "hub")

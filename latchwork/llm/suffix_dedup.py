@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, discard, pick, release, settle
+from .common import bounded_batches, discard, pick, settle
 
 #: Bytes of the string that must repeat.
 THRESHOLD = 100
@@ -311,8 +311,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and those under THRESHOLD bytes, lose nothing. A null doc_id
     counts as the smallest. Rows with the same doc_id are documents of their own, in
-    the order of their texts, so of repeated rows all but one are removed. An empty
-    table gives an empty result.
+    the order of their texts, so of repeated rows all but one are removed. Further
+    columns, of any name, are ignored. An empty table gives an empty result. A very long
+    text is hashed in stretches of CHUNK bytes, in one task.
 
     Suffixes are sorted only through THRESHOLD bytes, most significant digits first.
     A window is filed under the suffix at its anchor, so that one suffix in some
@@ -333,13 +334,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     found = keyed.where(F.length("text") >= THRESHOLD).mapInArrow(_anchor_rows(CHUNK, FLUSH), ANCHORS)
     one, path_one = settle(_unpacked(_radix_pass(found, F.col("place") < 0, (F.col("place") > 0) & (F.col("place").bitwiseAND(F.lit(_SURE)) > 0), "place")).select("doc", "n", "anchor", "first", "last", "later", "open"), "pass1")
-    del found
-    release(spark)
     runs = one.where("open").groupBy("doc", "n").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
     blocks = keyed.join(runs, ["doc", "n"]).mapInArrow(_block_rows(BLOCK_FLUSH), BLOCKS)
     two, path_two = settle(_radix_pass(blocks, F.col("state") == 1, F.col("state") == 2, "anchor").drop("gram", "context", "state"), "pass2")
-    del blocks
-    release(spark)
     windows = two.where("open").select("doc", "n", "first", "last", "bytes").mapInArrow(_window_rows, WINDOWS)
     rank = Window.partitionBy("low", "high").orderBy("doc", "n", "first")
     three = windows.withColumn("rank", F.row_number().over(rank)).where("rank > 1 OR known")
@@ -347,7 +344,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cuts = cuts.union(two.where("later").select("doc", "n", "first", "last")).union(three.select("doc", "n", "first", F.col("first").alias("last")))
     cuts, path_three = settle(cuts.groupBy("doc", "n").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "cuts")
     discard(spark, path_one, path_two)
-    release(spark)
     return rows.join(cuts, ["doc", "n"], "left").select("doc_id", "n", "text", "cuts").mapInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
     )
