@@ -14,12 +14,14 @@ def check(schema: Schema, edges: DataFrame, demands: DataFrame, resource_type: s
     """``demands`` (subject_id, resource_id and others) with ``allowed``: does the subject hold the permission?
 
     Unknown ids hold nothing. Repeated demands keep a row each. All demands are one
-    evaluation, from their subjects' edges only.
+    evaluation, bounded from both sides: the demand goes down the rules from the
+    resources asked for, and meets the edges of the subjects asked for only. So neither
+    a subject who holds everything nor a resource that all share brings in the rest.
     """
     schema.require_type(subject_type)
     schema.require_permission(resource_type, permission)
     run = Evaluation(schema, edges, subject_type, demands.select("subject_id"))
-    held = run.grants(resource_type, permission).select(F.col("subject_id").alias("s"), F.col("resource_id").alias("r")).distinct()
+    held = run.demanded(resource_type, permission, demands.select("resource_id")).select(F.col("subject_id").alias("s"), F.col("resource_id").alias("r"))
     both = demands.join(held, (demands.subject_id == held.s) & (demands.resource_id == held.r), "left")
     return both.withColumn("allowed", F.col("s").isNotNull()).drop("s", "r")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -15,13 +15,22 @@ from .grants import relation_edges
 MOST_DEPTH, MOST_NODES = 50, 100_000
 
 
+def escaped(name: Column) -> Column:
+    """An id as a part of a path: %, / and : by their codes."""
+    out = name.cast("string")
+    for mark, code in (("%", "%25"), ("/", "%2F"), (":", "%3A")):
+        out = F.replace(out, F.lit(mark), F.lit(code))
+    return out
+
+
 def expand(schema: Schema, edges: DataFrame, resource_type: str, name: str, resources: DataFrame, most_nodes: int | None = MOST_NODES) -> tuple[DataFrame, DataFrame]:
     """Nodes (root_id, path, parent, depth, object_type, object_id, name, kind) and leaves (root_id, path, subject_type, subject_id).
 
     A node is a relation (kind leaf: its subjects) or a permission (kind union: its
     children in the schema's order). An arrow has a child for each edge that it follows.
     Nothing is made distinct: two ways to a subject are two leaves. Each level is one
-    join with the edges for each permission on it, for all roots at once. An object
+    join with the edges for each permission on it, for all roots at once, written and
+    counted as one table. Ids stand in paths with %, / and : escaped. An object
     that comes up again below itself is an error, as is a tree deeper than 50 levels or,
     with ``most_nodes``, larger than that.
     """
@@ -47,23 +56,28 @@ def expand(schema: Schema, edges: DataFrame, resource_type: str, name: str, reso
                     continue
                 for through in schema.relations[(t, rule.via)]:
                     via = relation_edges(edges, t, rule.via, through).select(F.col("resource_id").alias("object_id"), F.col("subject_id").alias("next_id"))
-                    path = F.concat("path", F.lit(f"/{rule.via}:{through}:"), F.col("next_id").cast("string"), F.lit(f"/{rule.target}"))
+                    path = F.concat("path", F.lit(f"/{rule.via}:{through}:"), escaped(F.col("next_id")), F.lit(f"/{rule.target}"))
                     child = rows.join(via, "object_id").select("root_id", F.col("next_id").alias("object_id"), F.col("path").alias("parent"), path.alias("path"), "seen")
                     below.setdefault((through, rule.target), []).append(child)
         if not below:
             break
-        level = {}
-        for (t, n), parts in below.items():
-            rows = reduce(DataFrame.union, parts).withColumn("own", key(t, n, F.col("object_id")))
-            settled, _ = settle(rows.select("root_id", "object_id", "path", F.concat("seen", F.array("own")).alias("seen"), "parent", F.array_contains("seen", F.col("own")).alias("again")), "level")
-            looped = settled.where("again").limit(1).collect()
-            if looped:
-                raise EngineError("permission-tree/cycle-detected", f"{t}:{looped[0].object_id} comes up again below itself", path=looped[0].path)
-            total += settled.count()
-            level[(t, n)] = settled.drop("again")
+        parts = []
+        for (t, n), made in below.items():
+            own = key(t, n, F.col("object_id"))
+            rows = reduce(DataFrame.union, made).withColumn("own", own)
+            parts.append(rows.select(F.lit(t).alias("type"), F.lit(n).alias("name"), "root_id", "object_id", "path", F.concat("seen", F.array("own")).alias("seen"), "parent", F.array_contains("seen", F.col("own")).alias("again")))
+        settled, _ = settle(reduce(DataFrame.union, parts), "level")
+        # One row for each permission of the level.
+        sums = settled.groupBy("type", "name").agg(F.count("*").alias("n"), F.max(F.when(F.col("again"), F.struct("object_id", "path"))).alias("looped")).collect()
+        for r in sums:
+            if r.looped:
+                raise EngineError("permission-tree/cycle-detected", f"{r.type}:{r.looped.object_id} comes up again below itself", path=r.looped.path)
+        total += sum(r.n for r in sums)
+        columns = ("root_id", "object_id", "path", "seen", "parent")
+        level = {(r.type, r.name): settled.where((F.col("type") == r.type) & (F.col("name") == r.name)).select(*columns) for r in sums}
         if most_nodes is not None and total > most_nodes:
             raise EngineError("permission-tree/limit-exceeded", f"more than {most_nodes} nodes", limit="nodes")
-        if all(v.isEmpty() for v in level.values()):
+        if not level:
             break
     else:
         raise EngineError("permission-tree/limit-exceeded", f"deeper than {MOST_DEPTH} levels", limit="depth")

@@ -11,14 +11,17 @@ from ..sources.tables import settle
 from .grants import EDGE, reach
 
 
-def dictionary(edges: DataFrame, known: DataFrame | None = None, parts: int = 200) -> DataFrame:
+def dictionary(edges: DataFrame, known: DataFrame | None = None, rows_a_part: int = 500_000) -> DataFrame:
     """(type, id, eid): a number for each object that edges have as an end; known ones keep theirs.
 
-    New objects are numbered part by part after the largest known number, so no task sees all of them.
+    New objects are numbered part by part after the largest known number, in as many parts
+    as their number asks for, so no task sees all of them.
     """
     ends = edges.select(F.col("subject_type").alias("type"), F.col("subject_id").alias("id")).union(edges.select("resource_type", "resource_id")).distinct()
     fresh = ends if known is None else ends.join(known, ["type", "id"], "left_anti")
-    fresh, _ = settle(fresh.withColumn("part", F.pmod(F.xxhash64("type", "id"), F.lit(parts)).cast("int")), "objects")
+    fresh, _ = settle(fresh, "objects")
+    parts = 1 + fresh.count() // rows_a_part
+    fresh = fresh.withColumn("part", F.pmod(F.xxhash64("type", "id"), F.lit(parts)).cast("int"))
     largest = known.agg(F.coalesce(F.max("eid"), F.lit(0))).first()[0] if known is not None else 0
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
     before = fresh.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))

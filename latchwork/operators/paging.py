@@ -17,13 +17,18 @@ from .relationships import keyset_page
 
 @dataclass
 class Page:
-    """At most 10,000 rows in forward order, and where they begin and end."""
+    """At most 10,000 rows in forward order, and where they begin and end.
+
+    ``ordinal`` is the place of the first row in the whole enumeration, counted from
+    one. Pages that start from its end don't know it.
+    """
 
     data: list[dict]
     start_cursor: str | None
     end_cursor: str | None
     has_next: bool
     has_previous: bool
+    ordinal: int | None = None
 
 
 def least_paths(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, subject_id) -> DataFrame:
@@ -63,33 +68,48 @@ def least_paths(schema: Schema, edges: DataFrame, resource_type: str, permission
     return made[(resource_type, permission)]
 
 
-def assemble(rows: DataFrame, keys: tuple[str, ...], signer: Signer, scope: dict, columns: tuple[str, ...], first=None, after=None, last=None, before=None) -> Page:
-    """A page of ``rows`` ordered by ``keys``; cursors are signed with their scope and are refused in any other."""
+def assemble(rows: DataFrame, keys: tuple[str, ...], signer: Signer, scope: dict, columns: tuple[str, ...], first=None, after=None, last=None, before=None, held: dict | None = None) -> Page:
+    """A page of ``rows`` ordered by ``keys``.
+
+    Cursors are signed with their scope and refused in any other. They carry the keys and
+    columns of their row, its ordinal, and what ``held`` says.
+    """
     cursor = after if after is not None else before
-    bound = tuple(signer.read(cursor, scope)["at"]) if cursor is not None else None
+    told = signer.read(cursor, scope) if cursor is not None else None
+    bound = tuple(told["at"]) if told else None
     chosen, size, backwards = keyset_page(rows, keys, first, bound if after is not None else None, last, bound if before is not None else None)
     got = [r.asDict(recursive=True) for r in chosen.collect()]
     more = len(got) > size
     got = got[:size][::-1] if backwards else got[:size]
-    mark = lambda r: signer.issue({"at": [r[k] for k in keys]}, scope)
     if not got:
         return Page([], None, None, False, False)
+    start = 1 if told is None else told["ordinal"]
+    if told and start is not None:
+        start = start - len(got) if backwards else start + 1
+    start = None if backwards and told is None else start
+    plain = lambda v: [[s["rule"], s["through"]] for s in v] if isinstance(v, list) else v
+    mark = lambda i: signer.issue({"at": [plain(got[i][k]) for k in keys], "row": {c: got[i][c] for c in columns}, "ordinal": start + i % len(got) if start else None, **(held or {})}, scope)
     has_next, has_previous = (before is not None, more) if backwards else (more, after is not None)
-    return Page([{c: r[c] for c in columns} for r in got], mark(got[0]), mark(got[-1]), has_next, has_previous)
+    return Page([{c: r[c] for c in columns} for r in got], mark(0), mark(-1), has_next, has_previous, start)
 
 
-def resources_page(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, subject_id, signer: Signer, scope: dict, **page) -> Page:
+def resources_page(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, subject_id, signer: Signer, scope: dict, evaluation: str | None = None, **page) -> Page:
     """A page of the resources on which one subject holds a permission.
 
     The order is that of least paths; that of ids for recursive permissions. Pages of one
-    snapshot, put together, are the whole enumeration without repeats.
+    snapshot, put together, are the whole enumeration without repeats. The end of a
+    recursive enumeration is known only once all of it is: a bare ``last`` there needs
+    ``evaluation`` complete-denotation.
     """
     schema.require_type(subject_type)
     schema.require_permission(resource_type, permission)
+    if evaluation not in (None, "complete-denotation"):
+        raise EngineError("invalid-request", f"{evaluation} isn't an evaluation", evaluation=evaluation)
     if schema.is_recursive((resource_type, permission)):
+        if page.get("last") is not None and page.get("before") is None and evaluation is None:
+            raise EngineError("pagination/complete-evaluation-required", "the last rows of a recursive permission need evaluation complete-denotation")
         one = edges.sparkSession.createDataFrame([(subject_id,)], ["subject_id"])
         rows = Evaluation(schema, edges, subject_type, one).grants(resource_type, permission).select("resource_id").withColumn("key", F.col("resource_id"))
     else:
-        path = F.array_join(F.transform("path", lambda s: F.concat(F.lpad(s["rule"].cast("string"), 6, "0"), F.lit(":"), s["through"])), "/")
-        rows = least_paths(schema, edges, resource_type, permission, subject_type, subject_id).select("resource_id", path.alias("key"))
+        rows = least_paths(schema, edges, resource_type, permission, subject_type, subject_id).select("resource_id", F.col("path").alias("key"))
     return assemble(rows, ("key", "resource_id"), signer, scope, ("resource_id",), **page)

@@ -72,6 +72,13 @@ def page_size(n) -> int:
     return n
 
 
+def _literal(value) -> Column:
+    """A key's value as a column: a plain one, or a path of (rule, through) steps."""
+    if not isinstance(value, list | tuple):
+        return F.lit(value)
+    return F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(through).alias("through")) for rule, through in value]).cast("array<struct<rule:int,through:string>>")
+
+
 def keyset_page(rows: DataFrame, keys: tuple[str, ...], first: int | None = None, after: tuple | None = None, last: int | None = None, before: tuple | None = None) -> tuple[DataFrame, int, bool]:
     """Rows of one page and one more, in the page's direction; the page's size; whether it runs backwards.
 
@@ -86,7 +93,7 @@ def keyset_page(rows: DataFrame, keys: tuple[str, ...], first: int | None = None
     if bound is not None:
         beyond, tied = F.lit(False), F.lit(True)
         for key, value in zip(keys, bound, strict=True):
-            column = F.col(key)
+            column, value = F.col(key), _literal(value)
             beyond = beyond | (tied & ((column < value) if backwards else (column > value)))
             tied = tied & (column == value)
         rows = rows.where(beyond)

@@ -11,13 +11,46 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.grants import EDGE, Evaluation
 from ..plans.schema import Schema
 from ..sources.store import Store
+from ..sources.tables import settle
 
 UPDATE_SCHEMA = "op string, subject_type string, subject_id string, relation string, resource_type string, resource_id string"
 
 
+def touched_resources(schema: Schema, before: DataFrame, after: DataFrame, resource_type: str, permission: str) -> DataFrame:
+    """Distinct resource_id: every resource on which a permission can differ between two tables of edges.
+
+    Changed edges are marked and the marks follow the rules up. A changed edge gives its
+    resource a mark as a holder, and, where a rule arrows through it, leads to an object
+    of its subject's type that the mark holds everything on. So only what the marks
+    reach is derived, not the grants.
+    """
+    keys = list(EDGE)
+    needed = schema.relation_dependencies((resource_type, permission))
+    read = before.sparkSession.createDataFrame(sorted(needed), "resource_type string, relation string") if needed else None
+    both = before.select(*keys).withColumn("side", F.lit(-1)).union(after.select(*keys).withColumn("side", F.lit(1)))
+    if read is not None:
+        both = both.join(F.broadcast(read), ["resource_type", "relation"], "left_semi").select(*keys, "side")  # a row for each relation that the rules read
+    changed, _ = settle(both.distinct().groupBy(*keys).agg(F.sum("side").alias("moved")).where("moved <> 0").select(*keys), "changed")
+    kind = before.schema["subject_id"].dataType.simpleString()
+    mark, top = (F.lit(v).cast(kind) for v in (("\0mark", "\0top") if kind == "string" else (-(2**31), -(2**31) + 1)))
+    held = changed.select("subject_type", mark.alias("subject_id"), "relation", "resource_type", "resource_id")
+    led = changed.select("subject_type", top.alias("subject_id"), "relation", "resource_type", "resource_id")
+    every = [(st, rel, rt) for (rt, rel), types in sorted(schema.relations.items()) for st in types]
+    all_of = before.sparkSession.createDataFrame(every, "subject_type string, relation string, resource_type string")
+    on_top = [all_of.select("subject_type", x.alias("subject_id"), "relation", "resource_type", top.alias("resource_id")) for x in (mark, top)]
+    edges = before.select(*keys).union(after.select(*keys)).union(held).union(led).union(on_top[0]).union(on_top[1])
+    marks = before.sparkSession.range(1).select(mark.alias("subject_id"))
+    found = Evaluation(schema, edges, subjects=marks).grants(resource_type, permission).select("resource_id").distinct()
+    return found.where(F.col("resource_id") != top)
+
+
 def changed_grants(schema: Schema, before: DataFrame, after: DataFrame, resource_type: str, permission: str) -> DataFrame:
-    """(resource_id, subject_type, subject_id, change): grants of a permission gained or lost between two tables of edges."""
-    old, new = (Evaluation(schema, e).grants(resource_type, permission) for e in (before, after))
+    """(resource_id, subject_type, subject_id, change): grants of a permission gained or lost between two tables of edges.
+
+    Only the resources that changed edges touch are evaluated, before and after.
+    """
+    touched, _ = settle(touched_resources(schema, before, after, resource_type, permission), "touched")
+    old, new = (Evaluation(schema, e).demanded(resource_type, permission, touched) for e in (before, after))
     keys = ["resource_id", "subject_type", "subject_id"]
     both = old.withColumn("was", F.lit(1)).withColumn("is", F.lit(0)).union(new.withColumn("was", F.lit(0)).withColumn("is", F.lit(1)))
     moved = both.groupBy(*keys).agg(F.max("was").alias("was"), F.max("is").alias("is")).where("was <> is")
@@ -25,10 +58,9 @@ def changed_grants(schema: Schema, before: DataFrame, after: DataFrame, resource
 
 
 def affected_subjects(schema: Schema, edges: DataFrame, changed: DataFrame, resource_type: str, permission: str, subject_type: str) -> DataFrame:
-    """Distinct (resource_id, subject_id): who holds a permission on the resources of changed edges."""
+    """Distinct (resource_id, subject_id): who holds a permission on the resources of changed edges, by demand from these."""
     touched = changed.where(F.col("resource_type") == resource_type).select("resource_id").distinct()
-    held = Evaluation(schema, edges, subject_type).grants(resource_type, permission).select("resource_id", "subject_id")
-    return held.join(touched, "resource_id", "left_semi")
+    return Evaluation(schema, edges, subject_type).demanded(resource_type, permission, touched).select("resource_id", "subject_id")
 
 
 def ingest(store: Store, updates: DataFrame, checkpoint: str, notify: Callable[[int, DataFrame], None] | None = None, **trigger) -> StreamingQuery:

@@ -12,7 +12,7 @@ EDGES = [("user", "u", "owner", "doc", "d1"), ("user", "v", "owner", "doc", "d2"
 
 def test_dictionary_encode_decode(spark):
     edges = spark.createDataFrame(EDGES, COLUMNS)
-    first = objects.dictionary(edges, parts=3).persist()
+    first = objects.dictionary(edges, rows_a_part=2).persist()
     ids = {(r.type, r.id): r.eid for r in first.collect()}
     assert sorted(ids.values()) == [1, 2, 3, 4]
     more = objects.dictionary(edges.union(spark.createDataFrame([("user", "w", "owner", "doc", "d3")], COLUMNS)), first)
