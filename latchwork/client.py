@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,25 +84,55 @@ class Client:
         if not self.check(subject_type, subject_id, permission, resource_type, resource_id, **consistency):
             raise EngineError("unauthorized", f"{subject_type}:{subject_id} doesn't hold {permission} on {resource_type}:{resource_id}")
 
-    def lookup_resources(self, subject_type: str, subject_id: str, permission: str, resource_type: str, consistency="minimize-latency", token=None, **page) -> paging.Page:
-        s = self._page_snapshot(consistency, token, page)
-        scope = {"op": "resources", "of": [subject_type, subject_id, permission, resource_type], "version": s.version}
+    def lookup_resources(self, subject_type: str, subject_id: str, permission: str, resource_type: str, consistency="minimize-latency", token=None, evaluation=None, **page) -> paging.Page:
+        scope = {"op": "resources", "of": [subject_type, subject_id, permission, resource_type]}
+        proof = lambda s: s.frontier((resource_type, permission))
+
+        def holds(s: Snapshot, row: dict) -> bool:
+            one = self.spark.createDataFrame([(subject_id, row["resource_id"])], "subject_id string, resource_id string")
+            return access.check(s.schema, s.edges, one, resource_type, permission, subject_type).first().allowed
+
         with self._limited("lookup_resources"):
-            return paging.resources_page(s.schema, s.edges, resource_type, permission, subject_type, subject_id, self.signer, scope, **page)
+            s, held = self._paged(scope, page, consistency, token, proof, holds)
+            return paging.resources_page(s.schema, s.edges, resource_type, permission, subject_type, subject_id, self.signer, scope, evaluation, held=held, **page)
 
     def lookup_subjects(self, resource_type: str, resource_id: str, permission: str, subject_type: str, consistency="minimize-latency", token=None, **page) -> paging.Page:
-        s = self._page_snapshot(consistency, token, page)
-        scope = {"op": "subjects", "of": [resource_type, resource_id, permission, subject_type], "version": s.version}
-        one = self.spark.createDataFrame([(resource_id,)], "resource_id string")
+        scope = {"op": "subjects", "of": [resource_type, resource_id, permission, subject_type]}
+        proof = lambda s: s.frontier((resource_type, permission))
+
+        def holds(s: Snapshot, row: dict) -> bool:
+            one = self.spark.createDataFrame([(row["subject_id"], resource_id)], "subject_id string, resource_id string")
+            return access.check(s.schema, s.edges, one, resource_type, permission, subject_type).first().allowed
+
         with self._limited("lookup_subjects"):
+            s, held = self._paged(scope, page, consistency, token, proof, holds)
+            one = self.spark.createDataFrame([(resource_id,)], "resource_id string")
             rows = access.lookup_subjects(s.schema, s.edges, resource_type, permission, subject_type, one)
-            return paging.assemble(rows, ("subject_id",), self.signer, scope, ("subject_id",), **page)
+            return paging.assemble(rows, ("subject_id",), self.signer, scope, ("subject_id",), held=held, **page)
+
+    def _paged(self, scope: dict, page: dict, consistency: str, token: str | None, proof: Callable[[Snapshot], tuple], holds: Callable[[Snapshot, dict], bool]) -> tuple[Snapshot, dict]:
+        """The snapshot that a page is read from, and what its cursors say of it.
 
-    def _page_snapshot(self, consistency: str, token: str | None, page: dict) -> Snapshot:
+        A page after a cursor stays on the current version if nothing that the answer
+        depends on has changed since (``proof``), and goes on in the cursor's own version
+        otherwise. It is refused if that version is gone, or if the row at which the
+        cursor stands isn't an answer any more now (``holds``).
+        """
         unknown = set(page) - {"first", "after", "last", "before"}
         if unknown:
             raise EngineError("invalid-request", f"unknown keys {sorted(unknown)}")
-        return self.snapshot(consistency, token)
+        s = self.snapshot(consistency, token)
+        cursor = page.get("after") if page.get("after") is not None else page.get("before")
+        if cursor is not None:
+            told = self.signer.read(cursor, scope)
+            if told["proof"] != list(proof(s)):
+                if not holds(s, told["row"]):
+                    raise EngineError("pagination/stale-cursor", "the row at the cursor isn't an answer any more", reason="boundary-revoked")
+                try:
+                    s = Snapshot(self.spark, self.store.commit_of(told["version"]))
+                except EngineError as e:
+                    raise EngineError("pagination/stale-cursor", f"version {told['version']} isn't kept any more", reason="version-gone") from e
+        return s, {"version": s.version, "proof": list(proof(s))}
 
     def count_resources(self, subject_type: str, subject_id: str, permission: str, resource_type: str, limit: int | None = None, **consistency) -> tuple[int, int, bool]:
         s = self.snapshot(**consistency)
@@ -146,11 +178,19 @@ class Client:
     # Edges and schemas
 
     def read_relationships(self, consistency="minimize-latency", token=None, first=None, after=None, last=None, before=None, **filters) -> paging.Page:
-        s = self.snapshot(consistency, token)
-        scope = {"op": "relationships", "of": filters, "version": s.version}
-        rows = relationships.read(s.schema, s.edges, **filters)
+        page = {"first": first, "after": after, "last": last, "before": before}
+        scope = {"op": "relationships", "of": filters}
+
+        def holds(s: Snapshot, row: dict) -> bool:
+            here = s.edges
+            for c in EDGE:
+                here = here.where(F.col(c) == row[c])
+            return not here.isEmpty()
+
         with self._limited("read_relationships"):
-            return paging.assemble(rows, ("spec", "major", "minor"), self.signer, scope, EDGE, first, after, last, before)
+            s, held = self._paged(scope, page, consistency, token, lambda s: (s.version,), holds)
+            rows = relationships.read(s.schema, s.edges, **filters)
+            return paging.assemble(rows, ("spec", "major", "minor"), self.signer, scope, EDGE, held=held, **page)
 
     def write_relationships(self, updates: DataFrame | list[tuple]) -> str:
         """Updates as rows of (op, subject_type, subject_id, relation, resource_type, resource_id)."""
@@ -174,6 +214,14 @@ class Client:
     def read_schema(self, **consistency) -> tuple[list[tuple], list[tuple]]:
         return self.snapshot(**consistency).schema.rows()
 
+    def schema_status(self, **consistency) -> dict:
+        """Version, digest and size of the schema that reads use, and whether the store has a newer one."""
+        s = self.snapshot(**consistency)
+        relations, permissions = s.schema.rows()
+        text = hashlib.sha256(s.commit.schema_text.encode()).hexdigest()
+        newest = self.store.commit_of(max(self.store.versions(), default=0)).schema_version
+        return {"schema_version": s.commit.schema_version, "sha256": text, "relations": len(relations), "permissions": len(permissions), "current": newest == s.commit.schema_version}
+
     def current_token(self) -> str:
         return self.store.token(self.store.current().version)
 

@@ -19,6 +19,8 @@ EDGE_SCHEMA = "subject_type string, subject_id string, relation string, resource
 OPERATIONS = ("create", "touch", "delete")
 #: Deltas after which a commit also writes all edges, so that a read joins no more of them.
 COMPACT_AFTER = 16
+#: Times that a write of edges is judged against a newer version before it gives up.
+ATTEMPTS = 4
 MODES = ("minimize-latency", "fully-consistent", "at-least-as-fresh", "at-exact-snapshot")
 
 
@@ -61,9 +63,12 @@ class Snapshot:
 class Store:
     """Edges and schemas below a folder that Spark reaches.
 
-    A commit is a file named after its version, created without overwriting: of two
-    writers of one version the second fails with ``schema/concurrent-write`` and starts
-    again from the new version.
+    A commit is a file named after its version, put in place by a rename that fails where
+    the file is there: of two writers of one version the second fails with
+    ``schema/concurrent-write``. Writes of edges are then judged anew against the new
+    version, up to ATTEMPTS times. This holds for file systems whose rename is atomic
+    and doesn't replace (HDFS, local ones); on an object store that copies, one writer
+    at a time must be made sure of from outside.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: bytes = b"latchwork", source: str = "default"):
@@ -176,14 +181,33 @@ class Store:
         create fails if the edge is there, touch adds it if it isn't, delete removes it if it is.
         The same update twice counts once; different operations on one edge are an error.
         """
+        rows = updates.select("op", *[F.col(c).cast("string").alias(c) for c in EDGE]).distinct()
+        for attempt in range(ATTEMPTS):
+            try:
+                return self.token(self._judged(rows).version)
+            except EngineError as e:
+                if e.code != "schema/concurrent-write" or attempt == ATTEMPTS - 1:
+                    raise
+
+    def _judged(self, rows: DataFrame) -> Commit:
         old = self.current()
         snapshot = Snapshot(self.spark, old)
-        rows = updates.select("op", *[F.col(c).cast("string").alias(c) for c in EDGE]).distinct()
-        for r in rows.select("op", "subject_type", "relation", "resource_type").distinct().limit(10_000).collect():
-            if r.op not in OPERATIONS:
-                raise EngineError("unsupported-operation", f"{r.op} isn't one of {OPERATIONS}", operation=r.op)
-            snapshot.schema.require_relationship(r.subject_type, r.relation, r.resource_type)
-        if not rows.where("subject_id is null or resource_id is null or subject_id = '' or resource_id = ''").isEmpty():
+        kinds = ["subject_type", "relation", "resource_type"]
+        legal = [(st, rel, rt) for (rt, rel), types in snapshot.schema.relations.items() for st in types]
+        # A row for each relation of the schema; every update meets it.
+        known = self.spark.createDataFrame(legal, "subject_type string, relation string, resource_type string").withColumn("legal", F.lit(True))
+        named = rows.join(F.broadcast(known), kinds, "left")
+        empty = F.coalesce(F.col("subject_id"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("resource_id"), F.lit("")).eqNullSafe("")
+        bad = named.agg(
+            F.min(F.when(~F.coalesce(F.col("op").isin(*OPERATIONS), F.lit(False)), F.coalesce("op", F.lit("null")))).alias("op"),
+            F.min(F.when(F.col("legal").isNull(), F.struct(*kinds))).alias("named"),
+            F.coalesce(F.max(empty), F.lit(False)).alias("empty"),
+        ).first()
+        if bad["op"] is not None:
+            raise EngineError("unsupported-operation", f"{bad['op']} isn't one of {OPERATIONS}", operation=bad["op"])
+        if bad["named"] is not None:
+            snapshot.schema.require_relationship(*bad["named"])
+        if bad["empty"]:
             raise EngineError("unknown-object", "an edge needs the ids of both its ends")
         if not rows.groupBy(*EDGE).count().where("count > 1").isEmpty():
             raise EngineError("invalid-relationship-update-batch", "different operations on one edge")
@@ -194,7 +218,7 @@ class Store:
             raise EngineError("relationship-conflict", f"{clash[0].asDict()} is there already")
         added = rows.where("op <> 'delete'").join(edges, list(EDGE), "left_anti").withColumn("added", F.lit(True))
         removed = there.where("op = 'delete'").withColumn("added", F.lit(False))
-        return self.token(self._apply(old, added.union(removed).drop("op")).version)
+        return self._apply(old, added.union(removed).drop("op"))
 
     def _apply(self, old: Commit, changes: DataFrame) -> Commit:
         version = old.version + 1

@@ -91,6 +91,68 @@ def test_pages_compose(client):
     assert code(lambda: client.lookup_resources("user", "user-1", "view", "server", first=1, last=1)) == "pagination/invalid-page"
 
 
+def test_pages_survive_writes(client):
+    client.create_relationships([("account", "account-1", "account", "server", f"server-{i:02}") for i in range(10, 16)])
+    ask = lambda **page: client.lookup_resources("user", "user-1", "view", "server", **page)
+    whole = [r["resource_id"] for r in ask().data]
+    one = ask(first=3)
+    assert one.ordinal == 1
+    # A write that the permission doesn't read: the page goes on in the current version.
+    client.create_relationships([("user", "x", "owner", "folder", "f")])
+    two = ask(first=3, after=one.end_cursor)
+    assert [r["resource_id"] for r in two.data] == whole[3:6] and two.ordinal == 4
+    # One that it reads: the page goes on in the version of its cursor.
+    client.create_relationships([("account", "account-1", "account", "server", "server-0")])
+    client.delete_relationships([("account", "account-1", "account", "server", whole[-1])])
+    assert [r["resource_id"] for r in ask(first=9, after=two.end_cursor).data] == whole[6:]
+    back = ask(last=2, before=two.start_cursor)
+    assert [r["resource_id"] for r in back.data] == whole[1:3] and back.ordinal == 2
+    # The row at the cursor is revoked: refused.
+    client.delete_relationships([("account", "account-1", "account", "server", whole[5])])
+    assert code(lambda: ask(first=3, after=two.end_cursor)) == "pagination/stale-cursor"
+    edges = client.read_relationships(resource_type="server", first=2)
+    client.create_relationships([("user", "y", "owner", "folder", "f")])
+    assert len(client.read_relationships(resource_type="server", first=9, after=edges.end_cursor).data) == 5
+    client.delete_relationships([tuple(edges.data[-1].values())])
+    assert code(lambda: client.read_relationships(resource_type="server", after=edges.end_cursor)) == "pagination/stale-cursor"
+    assert client.schema_status()["relations"] == 6
+
+
+def test_pages_follow_the_order_of_paths(client):
+    ids = ["a", "a-b", "a.b", "a b", "a/b", "b"]
+    client.create_relationships([("user", "p", "owner", "account", i) for i in ids] + [("account", i, "account", "server", f"s{n}") for n, i in enumerate(ids)])
+    got, after = [], None
+    while len(got) < 6:
+        page = client.lookup_resources("user", "p", "view", "server", first=2, after=after)
+        got, after = got + [r["resource_id"] for r in page.data], page.end_cursor
+    assert [ids[int(s[1:])] for s in got] == sorted(ids)
+
+
+def test_conflicting_writes_are_judged_again(client, monkeypatch):
+    other = Store(client.spark, client.store.root)
+    real, tried = client.store._write, []
+
+    def late(commit):
+        if not tried:
+            tried.append(commit.version)
+            other.write_relationships(client.spark.createDataFrame([("create", "user", "z", "owner", "account", "account-1")], UPDATE_SCHEMA))
+        return real(commit)
+
+    monkeypatch.setattr(client.store, "_write", late)
+    client.create_relationships([("user", "w", "owner", "account", "account-1")])
+    assert client.store.current().version == tried[0] + 1
+    assert {r["subject_id"] for r in client.lookup_subjects("account", "account-1", "admin", "user").data} >= {"w", "z"}
+    tried.clear()
+    assert code(lambda: client.create_relationships([("user", "z", "owner", "account", "account-1")])) == "relationship-conflict"
+
+
+def test_a_bad_update_behind_many_good_kinds(client):
+    spark = client.spark
+    good = spark.range(12_000).selectExpr("'touch' AS op", "'user' AS subject_type", "concat('u', id) AS subject_id", "'owner' AS relation", "'account' AS resource_type", "'a' AS resource_id")
+    bad = spark.createDataFrame([("touch", "user", "u", "account", "server", "s")], UPDATE_SCHEMA)
+    assert code(lambda: client.write_relationships(good.union(bad))) == "unknown-relation-or-permission"
+
+
 def test_relationship_reads(client):
     page = client.read_relationships(resource_type="server", first=1)
     assert page.data[0]["resource_id"] == "server-1" and page.has_next
@@ -161,6 +223,8 @@ def test_cached_grants_follow_their_relations(client):
 def test_recursive_pages_are_by_id(client):
     client.create_relationships([("user", "u", "owner", "folder", "f1"), ("folder", "f1", "parent", "folder", "f2"), ("folder", "f2", "parent", "folder", "f1"), ("folder", "f2", "parent", "folder", "f0")])
     assert [r["resource_id"] for r in client.lookup_resources("user", "u", "view", "folder", first=2).data] == ["f0", "f1"]
+    assert code(lambda: client.lookup_resources("user", "u", "view", "folder", last=1)) == "pagination/complete-evaluation-required"
+    assert [r["resource_id"] for r in client.lookup_resources("user", "u", "view", "folder", last=1, evaluation="complete-denotation").data] == ["f2"]
 
 
 def test_deadline(client):
