@@ -5,14 +5,18 @@ Every query works on all edges of ``sources.graphs.star_edges``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import access, expand, integrity, paging, relationships
+from .operators import access, expand, integrity, objects, paging, relationships
 from .operators.grants import EDGE, Evaluation, relation_edges
 from .plans.dsl import parse
 from .plans.schema import Schema, difference, relation_id
 from .sources.graphs import SCHEMA, star_edges
+from .sources.store import Store
+from .sources.tables import settle, shared_dir
 from .streaming.deltas import affected_subjects, changed_grants
 
 STAR = Schema.of(SCHEMA)
@@ -140,12 +144,22 @@ def _changes(spark, sf_dir) -> DataFrame:
     return touched.union(gone).distinct()
 
 
+def _store(spark) -> Store:
+    """A new store below the shared folder, with the schema of the test tables as its version 1."""
+    store = Store(spark, f"{shared_dir(spark)}/latchwork-{uuid.uuid4().hex}/store")
+    store.write_schema(SCHEMA)
+    return store
+
+
+def _longs(edges: DataFrame) -> DataFrame:
+    return edges.select(*[F.col(c).cast("long").alias(c) if c.endswith("_id") else c for c in EDGE])
+
+
 def _written(spark, sf_dir) -> DataFrame:
-    before = relation_edges(star_edges(spark, sf_dir), "order", "account").select(*EDGE)
-    updates = _changes(spark, sf_dir)
-    kept = before.join(updates.where("op = 'delete'").select(*EDGE), list(EDGE), "left_anti")
-    added = updates.where("op = 'touch'").select(*EDGE).join(before, list(EDGE), "left_anti")
-    return kept.union(added)
+    store = _store(spark)
+    store.write_relationships(relation_edges(star_edges(spark, sf_dir), "order", "account").withColumn("op", F.lit("create")))
+    token = store.write_relationships(_changes(spark, sf_dir))
+    return _longs(store.snapshot("at-exact-snapshot", token).edges)
 
 
 def write_touch_delete(spark, sf_dir):
@@ -154,8 +168,10 @@ def write_touch_delete(spark, sf_dir):
 
 def delete_object(spark, sf_dir):
     """All edges but those of nation 4."""
-    is_it = lambda side: (F.col(f"{side}_type") == "nation") & (F.col(f"{side}_id") == 4)
-    return star_edges(spark, sf_dir).where(~(is_it("subject") | is_it("resource"))).select(*EDGE)
+    store = _store(spark)
+    store.write_relationships(star_edges(spark, sf_dir).withColumn("op", F.lit("touch")))
+    store.delete_object("nation", "4")
+    return _longs(store.snapshot("fully-consistent").edges)
 
 
 def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -185,23 +201,63 @@ def schema_delta(spark, sf_dir):
     return spark.createDataFrame(rows, "change string, relation_id string")
 
 
-def _history(spark, sf_dir) -> DataFrame:
-    """Edges with the versions in which they were added and removed: order edges at 1 + their number mod 4, odd ones for two versions."""
+def snapshot_as_of(spark, sf_dir):
+    """Order edges as of the third of four writes: each is added at 1 + its number mod 4, and odd ones go two writes later."""
     rows = relation_edges(star_edges(spark, sf_dir), "order", "account")
-    added = (F.col("resource_id") % 4 + 1).cast("long")
-    return rows.withColumn("added_v", added).withColumn("removed_v", F.when(F.col("resource_id") % 2 == 1, added + 2))
+    added = F.col("resource_id") % 4 + 1
+    store, tokens = _store(spark), []
+    for v in range(1, 5):
+        gone = rows.where((added == v - 2) & (F.col("resource_id") % 2 == 1)).withColumn("op", F.lit("delete"))
+        tokens.append(store.write_relationships(rows.where(added == v).withColumn("op", F.lit("create")).union(gone)))
+    return _longs(store.snapshot("at-exact-snapshot", tokens[2]).edges)
 
 
-def snapshot_as_of(spark, sf_dir):
-    return _history(spark, sf_dir).where("added_v <= 3 AND (removed_v IS NULL OR removed_v > 3)").select(*EDGE)
+def dependency_frontier(spark, sf_dir):
+    """The newest version among the relations that each permission reads, after one write for each relation by name."""
+    edges, store = star_edges(spark, sf_dir), _store(spark)
+    for rt, name in sorted(STAR.relations):
+        store.write_relationships(relation_edges(edges, rt, name).withColumn("op", F.lit("touch")))
+    now = store.snapshot("fully-consistent")
+    return spark.createDataFrame([(f"{t}.{p}", now.frontier((t, p))[1]) for t, p in sorted(STAR.permissions)], "permission string, version long")
 
 
-def dependency_frontier(spark, sf_dir):
-    """The newest version among the relations that each permission reads; a relation's version is the number of its edges here."""
-    versions = star_edges(spark, sf_dir).groupBy("resource_type", "relation").agg(F.count("*").alias("version"))
-    needs = [(f"{t}.{p}", rt, rel) for t, p in sorted(STAR.permissions) for rt, rel in sorted(STAR.relation_dependencies((t, p)))]
-    listed = spark.createDataFrame(needs, "permission string, resource_type string, relation string")
-    return listed.join(versions, ["resource_type", "relation"], "left").groupBy("permission").agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+def read_schema(spark, sf_dir):
+    """Ids of all relation and permission definitions, as the store gives them back."""
+    relations, permissions = _store(spark).snapshot().schema.rows()
+    return spark.createDataFrame([(r[0],) for r in relations + permissions], "id string")
+
+
+def read_relationships_reverse_partial(spark, sf_dir):
+    return _read(spark, sf_dir, resource_type="nation")
+
+
+def lookup_subjects_recursive(spark, sf_dir):
+    """All users that can view the folders up to 20."""
+    some = spark.range(21).select(F.col("id").alias("resource_id"))
+    return access.lookup_subjects(STAR, star_edges(spark, sf_dir), "folder", "view", "user", some)
+
+
+def retract_components(spark, sf_dir):
+    """Edges that stay once region 1 goes with its nations, their accounts and the orders of these."""
+    edges = star_edges(spark, sf_dir).withColumn("subject_id", F.col("subject_id").cast("string")).withColumn("resource_id", F.col("resource_id").cast("string"))
+    owns = edges.where("(relation = 'region' AND resource_type = 'nation') OR (relation = 'nation' AND resource_type = 'account') OR (relation = 'account' AND resource_type = 'order')")
+    parts = owns.select(F.col("subject_type").alias("owner_type"), F.col("subject_id").alias("owner_id"), F.col("resource_type").alias("type"), F.col("resource_id").alias("id"))
+    roots = spark.createDataFrame([("region", "1")], "type string, id string")
+    ends = edges.select(F.col("subject_type").alias("type"), F.col("subject_id").alias("id")).distinct()
+    return _longs(objects.retract(edges, ends, parts, roots)[0])
+
+
+def repair_halves(spark, sf_dir):
+    return integrity.repaired(*_halves(spark, sf_dir))
+
+
+def object_codec(spark, sf_dir):
+    """Owners of accounts: ids to numbers and back."""
+    edges = star_edges(spark, sf_dir).withColumn("subject_id", F.col("subject_id").cast("string")).withColumn("resource_id", F.col("resource_id").cast("string"))
+    known, _ = settle(objects.dictionary(edges), "objects")
+    coded = relation_edges(objects.encode(edges, known), "account", "owner", "user").select("subject_id", "resource_id")
+    back = objects.decode(objects.decode(coded, known, "subject_id", "user"), known, "resource_id", "account")
+    return back.select(F.col("subject_id").cast("long").alias("subject_id"), F.col("resource_id").cast("long").alias("resource_id"))
 
 
 def affected_by_change(spark, sf_dir):
@@ -228,6 +284,7 @@ QUERIES = {
         read_relationships_forward, read_relationships_reverse, read_relationships_partial, read_relationships_exact, relationship_page,
         least_path_page, expand_leaf_subjects, write_touch_delete, delete_object, dangling_halves, dangling_report, relation_in_use,
         schema_delta, snapshot_as_of, dependency_frontier, affected_by_change, grants_changed,
+        read_schema, read_relationships_reverse_partial, lookup_subjects_recursive, retract_components, repair_halves, object_codec,
     )
 }
 
@@ -333,7 +390,7 @@ ORACLE = {
       UNION ALL SELECT 'retractions', 'relation:' || r FROM (SELECT r FROM old EXCEPT SELECT r FROM new)
       UNION ALL SELECT 'unchanged', 'relation:' || r FROM (SELECT r FROM old INTERSECT SELECT r FROM new)""",
     "snapshot_as_of": f"{_WITH} SELECT {_E} FROM edges WHERE resource_type = 'order' AND resource_id % 4 + 1 <= 3 AND (resource_id % 2 = 0 OR resource_id % 4 + 3 > 3)",
-    "dependency_frontier": f"""{_WITH}, v AS (SELECT resource_type || '.' || relation AS rel, count(*) AS version FROM edges GROUP BY 1),
+    "dependency_frontier": f"""{_WITH}, v AS (SELECT resource_type || '.' || relation AS rel, 1 + row_number() OVER (ORDER BY resource_type, relation) AS version FROM edges GROUP BY resource_type, relation),
       needs(permission, rel) AS (VALUES
         ('region.manage', 'region.admin'), ('nation.manage', 'nation.manager'), ('nation.manage', 'nation.region'), ('nation.manage', 'region.admin'), ('nation.audit', 'nation.region'), ('nation.audit', 'region.admin'),
         ('account.manage', 'account.owner'), ('account.manage', 'account.nation'), ('account.manage', 'nation.manager'), ('account.manage', 'nation.region'), ('account.manage', 'region.admin'),
@@ -341,6 +398,25 @@ ORACLE = {
         ('order.view', 'order.account'), ('order.view', 'account.owner'), ('order.view', 'account.nation'), ('order.view', 'nation.manager'), ('order.view', 'nation.region'), ('order.view', 'region.admin'),
         ('folder.view', 'folder.owner'), ('folder.view', 'folder.parent'), ('folder.edit', 'folder.owner'), ('folder.edit', 'folder.parent'), ('folder.share', 'folder.owner'), ('folder.share', 'folder.parent'))
       SELECT permission, coalesce(max(version), 0) AS version FROM needs LEFT JOIN v USING (rel) GROUP BY permission""",
+    "read_schema": """SELECT id FROM (VALUES
+      ('relation:region:admin:user'), ('relation:nation:region:region'), ('relation:nation:manager:user'), ('relation:account:nation:nation'), ('relation:account:owner:user'),
+      ('relation:order:account:account'), ('relation:folder:owner:user'), ('relation:folder:parent:folder'),
+      ('permission:region:manage:self:relation:admin'), ('permission:nation:manage:self:relation:manager'), ('permission:nation:manage:region:permission:manage'), ('permission:nation:audit:region:relation:admin'),
+      ('permission:account:manage:self:relation:owner'), ('permission:account:manage:nation:permission:manage'), ('permission:account:view:self:permission:manage'), ('permission:order:view:account:permission:view'),
+      ('permission:folder:view:self:relation:owner'), ('permission:folder:view:parent:permission:view'), ('permission:folder:edit:self:relation:owner'), ('permission:folder:edit:parent:permission:share'),
+      ('permission:folder:share:self:relation:owner'), ('permission:folder:share:parent:permission:edit')) x(id)""",
+    "read_relationships_reverse_partial": f"{_WITH} SELECT {_E} FROM edges WHERE resource_type = 'nation'",
+    "lookup_subjects_recursive": f"""{_RECURSIVE}, grow(s, r) AS (
+        SELECT s, r FROM via WHERE t = 'folder' AND rel = 'owner'
+        UNION SELECT grow.s, v.r FROM grow JOIN via v ON v.s = grow.r AND v.t = 'folder' AND v.rel = 'parent'
+      ) SELECT r AS resource_id, s AS subject_id FROM grow WHERE r <= 20""",
+    "retract_components": f"""{_WITH}, gone(type, id) AS (
+        SELECT 'region', 1 UNION ALL SELECT 'nation', n_nationkey FROM nation WHERE n_regionkey = 1
+        UNION ALL SELECT 'account', c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1
+        UNION ALL SELECT 'order', o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1
+      ) SELECT {_E} FROM edges WHERE (subject_type, subject_id) NOT IN (SELECT (type, id) FROM gone) AND (resource_type, resource_id) NOT IN (SELECT (type, id) FROM gone)""",
+    "repair_halves": f"{_WITH} SELECT DISTINCT {_E} FROM edges WHERE resource_id % 7 <> 3 AND subject_id % 11 <> 5",
+    "object_codec": f"{_WITH} SELECT s AS subject_id, r AS resource_id FROM via WHERE t = 'account' AND rel = 'owner'",
     "affected_by_change": f"{_WITH} SELECT r AS resource_id, s AS subject_id FROM order_view WHERE r IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 1)",
     "grants_changed": f"""{_WITH}{_WRITTEN}, now AS (SELECT DISTINCT g.s, a.resource_id AS r FROM after a JOIN account_manage g ON a.subject_id = g.r)
       SELECT s AS subject_id, r AS resource_id, 'gained' AS change FROM (SELECT s, r FROM now EXCEPT SELECT s, r FROM order_view)
