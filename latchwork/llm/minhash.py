@@ -18,7 +18,7 @@ NO_ID = -(2**63)
 #: Hash functions, each giving a minimum and a maximum; BANDS bands of four of these values. Two sets of similarity 0.8 miss every band once in 20 million.
 PERMUTATIONS, BANDS = 64, 32
 #: Shingles that one task compares with each other at most.
-CHUNK_SHINGLES = 400_000
+CHUNK_SHINGLES = 60_000
 #: Shingles of texts hashed at once.
 STEP_SHINGLES = 1 << 17
 
