@@ -19,6 +19,8 @@ NO_ID = -(2**63)
 PERMUTATIONS, BANDS = 64, 32
 #: Shingles that one task compares with each other at most.
 CHUNK_SHINGLES = 60_000
+#: Hubs with several parts or blocks (two numbers each) up to which they are broadcast; more of them are joined by a shuffle.
+BROADCAST_HUBS = 1_000_000
 #: Shingles of texts hashed at once.
 STEP_SHINGLES = 1 << 17
 
@@ -220,6 +222,11 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
+def _small(hubs: DataFrame) -> DataFrame:
+    """A settled table of hubs, marked for a broadcast as long as it is small."""
+    return F.broadcast(hubs) if hubs.count() <= BROADCAST_HUBS else hubs.hint("merge")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of ``docs`` (doc_id, text) linked by shingle sets: 100 * intersection >= percent * union.
 
@@ -255,8 +262,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     stars, star_path = settle(stars, "stars")
     discard(spark, filed_path)
 
-    parts = stars.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)).cast("int").alias("parts"))
-    placed = stars.join(parts, "hub").select("hub", F.col("node").alias("id"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    parts, parts_path = settle(stars.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)).cast("int").alias("parts")), "parts")
+    # Only hubs with several parts are looked up, so that a hot hub's members aren't dealt out by their hub.
+    several = _small(parts.where("parts > 1"))
+    placed = stars.join(several, "hub", "left").select("hub", F.col("node").alias("id"), F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(1).alias("role"))
     central = parts.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     # The ids grow with the corpus, so they are not broadcast: the texts of all members are picked out by one shuffle.
     members = stars.select(F.col("node").alias("id")).union(stars.select("hub")).distinct()
@@ -265,16 +274,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tested, tested_path = settle(tested.groupBy("hub", "part").applyInArrow(_compare(words, percent), LINKS), "tested")
     links = tested.where("b is not null").select("a", "b")
     # Members that their hub doesn't link, of hubs with several parts: each meets the other parts too, block by block.
-    open_ = tested.where("b is null").select("hub", F.col("a").alias("id")).distinct().join(parts.where("parts > 1"), "hub")
+    open_ = tested.where("b is null").select("hub", F.col("a").alias("id")).distinct().join(several, "hub")
     blocks = open_.join(stars.select("hub", F.col("node").alias("id"), "n"), ["hub", "id"])
-    sums = blocks.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)).cast("int").alias("blocks"))
+    sums, sums_path = settle(blocks.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    sums = _small(sums)
     blocks = blocks.join(sums, "hub").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     asking = blocks.select("hub", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2).alias("role"))
     asked = placed.join(sums, "hub").select("hub", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(1).alias("role"))
     cross = asking.union(asked).groupBy("hub", "id", "block", "part").agg(F.max("role").alias("role"))
     cross_text = cross.join(told.hint("merge"), "id").select("hub", "block", "part", "id", "role", "text")
     crossed, crossed_path = settle(cross_text.groupBy("hub", "block", "part").applyInArrow(_compare(words, percent), LINKS), "crossed")
-    discard(spark, told_path)
+    discard(spark, told_path, parts_path, sums_path)
     links = links.union(crossed.where("b is not null").select("a", "b"))
     named = components(links)
     ids = sketched.select("id", "n_shingles", "low", "high")
