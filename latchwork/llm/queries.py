@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE = {
     "op10_bm25_search": bm25.OP10_SQL,
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
+    "op3_sharding": sharding.OP3_SQL,
     "op5_decontamination": decontam.OP5_SQL,
     "op6_secret_scan": secrets.OP6_SQL,
     "op7_minhash": minhash.OP7_SQL,

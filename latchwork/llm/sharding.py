@@ -244,18 +244,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     cuts = smallest_capacity(order, shards, largest)[1] if n else []
     discard(spark, path)
     shard = sum((F.when(F.col("digest") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    placed = rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.xxhash64("doc_id", "digest").alias("spread"))
+    spread_ = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")), 1, 13)
+    placed = rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.conv(spread_, 16, 10).cast("long").alias("spread"))
     out = number_slots(placed, shards)
     discard(spark, rows_path)
     return out
 
 
 def number_slots(placed: DataFrame, shards: int) -> DataFrame:
-    """Slots 0 and up in each shard: parts of a shard are counted, then each numbers its rows after those before it."""
+    """Slots 0 and up in each shard in the order of ``spread`` (52 bits): parts of it are counted, then each numbers its rows after those before it."""
     placed, _ = settle(placed, "placed")
     rows = placed.count()
     parts = max(1, -(-rows // (SLOT_ROWS * shards)), min(16, rows // 1000))
-    placed = placed.withColumn("part", F.pmod("spread", F.lit(parts)).cast("int"))
+    placed = placed.withColumn("part", F.floor(F.col("spread") / F.lit(2.0**52) * parts).cast("int"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("shard", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
@@ -273,3 +274,47 @@ def number_slots(placed: DataFrame, shards: int) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
+
+
+#: Holds where no group of equal texts is larger than an even share, as in the driver's tables; hot groups are tested by brute force.
+OP3_SQL = """
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8
+), d AS (
+  SELECT doc_id, sha256(coalesce(text, '')) AS digest, hex(encode(coalesce(text, ''))) AS h FROM documents
+), texts AS (SELECT digest, any_value(h) AS h FROM d GROUP BY digest
+), sums AS (
+  SELECT digest, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                                             lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS crc
+  FROM texts, tab
+), o AS (
+  SELECT digest, sum(size) OVER (ORDER BY digest) AS upto, size
+  FROM (SELECT digest, CAST(sum(length(h) // 2 + 1) AS BIGINT) AS size FROM d GROUP BY digest)
+), w AS (
+  SELECT CAST(max(upto) AS BIGINT) AS total, max(size) AS largest, list(CAST(upto AS BIGINT) ORDER BY upto) AS ends FROM o
+), s(lo, hi, pos, k) AS (
+  SELECT (total + 15) // 16 - 1, (total + 15) // 16 + largest, CAST(0 AS BIGINT), 0 FROM w
+  UNION ALL
+  SELECT CASE WHEN next < total AND k = 15 THEN mid ELSE lo END, CASE WHEN next = total THEN mid ELSE hi END,
+         CASE WHEN next = total OR k = 15 THEN 0 ELSE next END, CASE WHEN next = total OR k = 15 THEN 0 ELSE k + 1 END
+  FROM (SELECT s.*, total, (lo + hi) // 2 AS mid, list_max(list_filter(ends, lambda e: e <= pos + (lo + hi) // 2)) AS next FROM s, w WHERE hi - lo > 1)
+), best AS (SELECT min(hi) AS capacity FROM s
+), cuts(pos) AS (
+  SELECT CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT next FROM (SELECT list_max(list_filter(ends, lambda e: e <= pos + capacity)) AS next, total FROM cuts, w, best) WHERE next < total
+), placed AS (
+  SELECT digest, CAST((SELECT count(*) FROM cuts WHERE cuts.pos <= o.upto - o.size) - 1 AS INTEGER) AS shard FROM o
+), r AS (
+  SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, shard,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13) AS spread
+  FROM d JOIN sums USING (digest) JOIN placed USING (digest)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY spread, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM r
+"""
