@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,8 @@ THRESHOLD = 100
 FIRST = 32
 #: Windows of one block of the second pass: it orders THRESHOLD - BLOCK + 1 bytes.
 BLOCK = 32
+#: Windows of the third pass that a task compares before they are shuffled.
+WINDOW_FLUSH = 200_000
 #: Bytes that a task hashes at once.
 CHUNK = 1 << 20
 #: Anchors among which a task drops repeated contexts before they are shuffled.
@@ -60,23 +61,27 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of window starts that share an anchor: gram, context, anchor, first start, last start.
+    """Runs of window starts that share an anchor: digits, context, check, anchor, first start, last start.
 
-    ``valid``: which window starts count. Equal windows have the same gram at the same
-    distance, and runs with equal gram and context hold the same windows.
+    ``valid``: which window starts count. digits: the first FIRST bytes of the suffix at
+    the anchor, as big-endian numbers of eight bytes, so that their order is that of
+    the bytes. Equal windows have the same digits at the same distance, and runs with
+    equal digits, context and check (128 bits of hash) hold the same windows.
     """
-    grams, windows = _hashes(data, FIRST), _hashes(data, THRESHOLD, 1)
+    grams = _hashes(data, FIRST)
     place = np.arange(len(grams), dtype=np.uint64)
     packed = (grams & U(0xFFFFFFFF00000000)) | place
     at = (_sliding_least(packed, THRESHOLD - FIRST + 1) & U(0xFFFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros((0, FIRST // 8), np.uint64),) + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     at = at[starts]
     cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(starts) != 1)) + 1
     first, last = starts[np.r_[0, cut]], starts[np.r_[cut, len(starts)] - 1]
     anchor = at[np.r_[0, cut]]
-    return grams[anchor], _context(windows, anchor, first, last), anchor, first, last
+    digits = np.lib.stride_tricks.sliding_window_view(data, FIRST)[anchor].view(">u8").astype(np.uint64)
+    context, check = (_context(_hashes(data, THRESHOLD, which), anchor, first, last) for which in (1, 0))
+    return digits, context, check, anchor, first, last
 
 
 def _context(windows: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -100,7 +105,7 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: A row of the first pass: place holds the anchor, how far before it the run starts, how long it is, and whether it is open for sure; a known interval has -1 there for its first start, its last one in context.
-ANCHORS = "gram long, context long, doc long, n int, place long"
+ANCHORS = "gram binary, context long, check long, doc long, n int, place long"
 _BITS, _SURE = 12, 1 << 11
 #: Rows of the second pass that a task compares before they are shuffled.
 BLOCK_FLUSH = 50_000
@@ -109,16 +114,19 @@ BLOCK_FLUSH = 50_000
 def _sorted_out(gram: np.ndarray, context: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the rows that a task holds: those to compare with other tasks' rows, those open for sure, and those repeated.
 
-    Of equal gram and context all but the first (by ``order``) are repeated. Of a gram
-    with several contexts two go on to the comparison, which tells every other task
-    that there are several; the rest is open without it. So a gram that a third of all
-    texts hold brings two rows from each task.
+    ``gram`` and ``context`` have a row each, of numbers that are sorted from the first
+    on. Of equal gram and context all but the first (by ``order``) are repeated. Of a
+    gram with several contexts two go on to the comparison, which tells every other
+    task that there are several; the rest is open without it. So a gram that a third
+    of all texts hold brings two rows from each task.
     """
-    by = np.lexsort((*order[::-1], context, gram))
-    same_gram = np.r_[False, gram[by][1:] == gram[by][:-1]]
-    again = same_gram & np.r_[False, context[by][1:] == context[by][:-1]]
+    by = np.lexsort((*order[::-1], *context.T[::-1], *gram.T[::-1]))
+    gram, context = gram[by], context[by]
+    same_gram = np.r_[False, (gram[1:] == gram[:-1]).all(axis=1)]
+    again = same_gram & np.r_[False, (context[1:] == context[:-1]).all(axis=1)]
     fresh = by[~again]
-    first = np.r_[True, gram[fresh][1:] != gram[fresh][:-1]]
+    # A repeated row has the gram of the fresh one before it, so what is left of same_gram tells where grams begin.
+    first = ~same_gram[~again]
     ends = first | np.r_[first[1:], True]
     return fresh[ends], fresh[~ends], by[again]
 
@@ -132,17 +140,17 @@ def _anchor_rows(chunk: int, most: int):
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            gram, context, doc, n, anchor, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
-            compared, sure, old = _sorted_out(gram, context, doc, n, anchor)
+            digits, context, check, doc, n, anchor, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+            compared, sure, old = _sorted_out(digits, np.column_stack((context, check)), doc, n, anchor)
             place = (anchor << (2 * _BITS)) | ((anchor - first) << _BITS) | (last - first)
-            yield _batch(gram[compared], context[compared], doc[compared], n[compared], place[compared])
+            yield _batch(digits[compared], context[compared], check[compared], doc[compared], n[compared], place[compared])
             if len(sure):
-                yield _batch(_spread(doc[sure], anchor[sure]), context[sure], doc[sure], n[sure], place[sure] | _SURE)
+                yield _batch(_spread(doc[sure], anchor[sure]), context[sure], check[sure], doc[sure], n[sure], place[sure] | _SURE)
             if len(old):
                 old = old[np.lexsort((first[old], n[old], doc[old]))]
                 cut = np.flatnonzero((doc[old][1:] != doc[old][:-1]) | (n[old][1:] != n[old][:-1]) | (first[old][1:] > last[old][:-1] + THRESHOLD)) + 1
                 a, b = old[np.r_[0, cut]], old[np.r_[cut, len(old)] - 1]
-                yield _batch(_spread(doc[a], first[a]), last[b].astype(np.uint64), doc[a], n[a], -1 - first[a])
+                yield _batch(_spread(doc[a], first[a]), last[b].astype(np.uint64), check[a], doc[a], n[a], -1 - first[a])
 
         for batch in batches:
             data, bounds = _texts(batch)
@@ -158,11 +166,11 @@ def _anchor_rows(chunk: int, most: int):
                     ends = bounds[i + 1 : j] - bounds[i]
                     for e in ends:
                         valid[max(0, e - THRESHOLD + 1) : e] = False
-                    gram, context, anchor, first, last = anchors(piece, valid)
+                    digits, context, check, anchor, first, last = anchors(piece, valid)
                     own = np.searchsorted(ends, first, side="right")
                     shift = (bounds[i + own] - bounds[i]) - begin
-                    held.append((gram, context, docs[i + own], ns[i + own], anchor - shift, first - shift, last - shift))
-                    count += len(gram)
+                    held.append((digits, context, check, docs[i + own], ns[i + own], anchor - shift, first - shift, last - shift))
+                    count += len(anchor)
                 i = j
                 if count >= most:
                     yield from flush()
@@ -174,13 +182,20 @@ def _anchor_rows(chunk: int, most: int):
 
 
 def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys of rows that need no comparison: they go to all tasks alike."""
-    return _mix(doc.astype(np.uint64) + _mix(at.astype(np.uint64)))
+    """Keys of rows that need no comparison, shorter than any gram: they go to all tasks alike."""
+    return _mix(doc.astype(np.uint64) + _mix(at.astype(np.uint64)))[:, None]
 
 
-def _batch(gram, context, doc, n, place) -> pa.RecordBatch:
-    columns = [gram.view(np.int64), context.view(np.int64), doc.astype(np.int64), n.astype(np.int32), place.astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [f.split()[0] for f in ANCHORS.split(", ")])
+def _bytes_of(numbers: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes, the first number first."""
+    width = 8 * numbers.shape[1]
+    ends = np.arange(len(numbers) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(ends), pa.py_buffer(numbers.astype(">u8").tobytes())])
+
+
+def _batch(gram, context, check, doc, n, place) -> pa.RecordBatch:
+    columns = [context.view(np.int64), check.view(np.int64), doc.astype(np.int64), n.astype(np.int32), place.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([_bytes_of(gram), *(pa.array(x) for x in columns)], [f.split()[0] for f in ANCHORS.split(", ")])
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
@@ -199,30 +214,40 @@ def _blocks(anchor: int, first: int, last: int) -> Iterator[tuple[int, int, int]
         yield b, max(first, anchor - b * BLOCK - BLOCK + 1), min(last, anchor - b * BLOCK)
 
 
-BLOCKS = "gram long, context long, doc long, n int, anchor int, first int, last int, bytes binary, state int"
+BLOCKS = "gram binary, context binary, doc long, n int, anchor int, first int, last int, state int"
+#: Bytes before those of a block's windows in its context: where the first stands, and how many there are.
+_HEAD = 2
+
+
+def _ranks(values: list[bytes]) -> np.ndarray:
+    """The place of each value among the different ones in order, as a column."""
+    at = {v: i for i, v in enumerate(sorted(set(values)))}
+    return np.array([at[v] for v in values], np.int64)[:, None]
 
 
 def _block_rows(most: int):
     """Rows of the second pass, compared ``most`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of the runs still open, keyed by the bytes that all windows of the block hold, with the bytes of its windows.
+        """Blocks of the runs still open. gram: the bytes that all windows of the block hold, after its distance from the anchor; context: the bytes of its windows.
 
         state: 0 to compare with other tasks' blocks, 1 repeats a block of the same task, 2 open for sure.
         """
-        types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int32()]
+        types = [pa.binary(), pa.binary(), pa.int64(), *[pa.int32()] * 5]
         names = [f.split()[0] for f in BLOCKS.split(", ")]
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(7)]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            gram, context, doc, n, anchor, first, last = (np.array(x, np.int64) for x in out[:7])
-            compared, sure, old = _sorted_out(gram, context, doc, n, anchor)
+            gram, context = out[:2]
+            doc, n, anchor, first, last = (np.array(x, np.int64) for x in out[2:])
+            compared, sure, old = _sorted_out(_ranks(gram), _ranks(context), doc, n, anchor)
             state = np.zeros(len(gram), np.int64)
             state[old], state[sure] = 1, 2
-            away = np.r_[old, sure]
-            gram[away] = _spread(doc[away], first[away]).view(np.int64)
-            held = [b if keep else b"" for b, keep in zip(out[7], state != 1, strict=True)]
-            columns = [gram, context, doc, n, anchor, first, last, held, state]
+            for i, key in zip((away := np.r_[old, sure]).tolist(), _spread(doc[away], first[away])[:, 0].tolist(), strict=True):
+                gram[i] = key.to_bytes(8, "big")
+            for i in old.tolist():
+                context[i] = b""
+            columns = [gram, context, doc, n, anchor, first, last, state]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) if isinstance(x, list) else pa.array(x).cast(t) for x, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
@@ -235,47 +260,65 @@ def _block_rows(most: int):
                     for b, first, last in _blocks(anchor, run["first"], run["last"]):
                         core = text[anchor - b * BLOCK : anchor - (b + 1) * BLOCK + 1 + THRESHOLD].tobytes()
                         held = text[first : last + THRESHOLD].tobytes()
-                        key = hashlib.blake2b(core + b"%d" % b, digest_size=8).digest()
-                        context = hashlib.blake2b(held + b"%d/%d" % (anchor - first, last - first), digest_size=8).digest()
-                        for column, value in zip(out, (int.from_bytes(key, "big", signed=True), int.from_bytes(context, "big", signed=True), doc, n, anchor, first, last, held), strict=True):
+                        for column, value in zip(out, (bytes([b]) + core, bytes([anchor - first, last - first]) + held, doc, n, anchor, first, last), strict=True):
                             column.append(value)
                 if len(out[0]) >= most:
                     yield from flush()
-                    out = [[] for _ in range(8)]
+                    out = [[] for _ in range(7)]
         if out[0]:
             yield from flush()
 
     return run
 
 
-WINDOWS = "low long, high long, doc long, n int, first int, known boolean"
+WINDOWS = "window binary, doc long, n int, first int, known boolean"
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the blocks still open, by a 128-bit digest; known: an earlier one stands in the same batch."""
-    for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        seen: set[bytes] = set()
-        for row in sorted(batch.to_pylist(), key=lambda r: (r["doc"], r["n"], r["first"])):
-            for i in range(row["last"] - row["first"] + 1):
-                d = hashlib.blake2b(row["bytes"][i : i + THRESHOLD], digest_size=16).digest()
-                known = d in seen
-                seen.add(d)
-                if known:
-                    d = hashlib.blake2b(b"%d/%d/%d" % (row["doc"], row["n"], row["first"] + i), digest_size=16).digest()
-                for column, value in zip(out, (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), row["doc"], row["n"], row["first"] + i, known), strict=True):
-                    column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [f.split()[0] for f in WINDOWS.split(", ")])
-
-
-def _radix_pass(rows: DataFrame, known: Column, sure: Column, place: str) -> DataFrame:
-    """One pass over rows with gram and context: ``later`` rows repeat the windows of an earlier one, ``open`` ones share a gram with another context."""
+def _window_rows(most: int):
+    """Rows of the third pass, compared ``most`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each window of the blocks still open, by all its bytes; known: an earlier one stands among those that the task holds."""
+        types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        held: list[dict] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out: list[list] = [[] for _ in types]
+            seen: set[bytes] = set()
+            for row in sorted(held, key=lambda r: (r["doc"], r["n"], r["first"])):
+                for i in range(row["last"] - row["first"] + 1):
+                    window = row["context"][_HEAD + i : _HEAD + i + THRESHOLD]
+                    known = window in seen
+                    seen.add(window)
+                    if known:  # a key of its own, shorter than any window
+                        window = b"%d/%d/%d" % (row["doc"], row["n"], row["first"] + i)
+                    for column, value in zip(out, (window, row["doc"], row["n"], row["first"] + i, known), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [f.split()[0] for f in WINDOWS.split(", ")])
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            held += rows
+            count += sum(r["last"] - r["first"] + 1 for r in rows)
+            if count >= most:
+                yield from flush()
+                held, count = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _radix_pass(rows: DataFrame, contexts: list[str], known: Column, sure: Column, place: str) -> DataFrame:
+    """One pass over suffixes sorted by the bytes in gram: ``later`` rows repeat the windows of an earlier one, ``open`` ones share a gram with other windows."""
     group = Window.partitionBy("gram")
-    same = Window.partitionBy("gram").orderBy("context", "doc", "n", place)
-    before = F.lag("context").over(same)
-    seen = rows.withColumn("later", known | F.coalesce(before == F.col("context"), F.lit(False)))
-    seen = seen.withColumn("mixed", F.min("context").over(group) != F.max("context").over(group))
+    same = group.orderBy(*contexts, "doc", "n", place)
+    equal, mixed = F.lit(True), F.lit(False)
+    for c in contexts:
+        equal = equal & (F.lag(c).over(same) == F.col(c))
+        mixed = mixed | (F.min(c).over(group) != F.max(c).over(group))
+    seen = rows.withColumn("later", known | F.coalesce(equal, F.lit(False))).withColumn("mixed", mixed)
     return seen.withColumn("open", (F.col("mixed") | sure) & ~F.col("later")).where("later or open").drop("mixed")
 
 
@@ -315,12 +358,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns, of any name, are ignored. An empty table gives an empty result. A very long
     text is hashed in stretches of CHUNK bytes, in one task.
 
-    Suffixes are sorted only through THRESHOLD bytes, most significant digits first.
-    A window is filed under the suffix at its anchor, so that one suffix in some
-    thirty is sorted and still each window is: pass 1 sorts them by FIRST bytes,
-    pass 2 those left by 69, pass 3 by all THRESHOLD. After each pass a group whose
-    windows are all equal is settled, a suffix alone in its group is dropped, and the
-    rest goes on.
+    Suffixes are sorted only through THRESHOLD bytes, most significant digits first,
+    by the bytes themselves. A window is filed under the suffix at its anchor, so that
+    one suffix in some thirty is sorted and still each window is: pass 1 sorts them
+    by FIRST bytes, pass 2 those left by 69, pass 3 by all THRESHOLD. After each pass
+    a group whose windows are all equal is settled, a suffix alone in its group is
+    dropped, and the rest goes on. Whether windows are equal is told in pass 1 by 128
+    bits of hash besides the sorted bytes, in passes 2 and 3 by their bytes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -333,12 +377,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = rows.select("doc", "n", "text")
 
     found = keyed.where(F.length("text") >= THRESHOLD).mapInArrow(_anchor_rows(CHUNK, FLUSH), ANCHORS)
-    one, path_one = settle(_unpacked(_radix_pass(found, F.col("place") < 0, (F.col("place") > 0) & (F.col("place").bitwiseAND(F.lit(_SURE)) > 0), "place")).select("doc", "n", "anchor", "first", "last", "later", "open"), "pass1")
+    one, path_one = settle(_unpacked(_radix_pass(found, ["context", "check"], F.col("place") < 0, (F.col("place") > 0) & (F.col("place").bitwiseAND(F.lit(_SURE)) > 0), "place")).select("doc", "n", "anchor", "first", "last", "later", "open"), "pass1")
     runs = one.where("open").groupBy("doc", "n").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
     blocks = keyed.join(runs, ["doc", "n"]).mapInArrow(_block_rows(BLOCK_FLUSH), BLOCKS)
-    two, path_two = settle(_radix_pass(blocks, F.col("state") == 1, F.col("state") == 2, "anchor").drop("gram", "context", "state"), "pass2")
-    windows = two.where("open").select("doc", "n", "first", "last", "bytes").mapInArrow(_window_rows, WINDOWS)
-    rank = Window.partitionBy("low", "high").orderBy("doc", "n", "first")
+    two, path_two = settle(_radix_pass(blocks, ["context"], F.col("state") == 1, F.col("state") == 2, "anchor").drop("gram", "state"), "pass2")
+    windows = two.where("open").select("doc", "n", "first", "last", "context").mapInArrow(_window_rows(WINDOW_FLUSH), WINDOWS)
+    rank = Window.partitionBy("window").orderBy("doc", "n", "first")
     three = windows.withColumn("rank", F.row_number().over(rank)).where("rank > 1 OR known")
     cuts = one.where("later").select("doc", "n", "first", "last")
     cuts = cuts.union(two.where("later").select("doc", "n", "first", "last")).union(three.select("doc", "n", "first", F.col("first").alias("last")))

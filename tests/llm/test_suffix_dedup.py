@@ -34,7 +34,7 @@ def found(df):
 
 @pytest.mark.parametrize(("chunk", "flush"), [(1 << 20, 10**6), (700, 50)])
 def test_against_brute_force(docs_of, monkeypatch, chunk, flush):
-    for name, value in (("CHUNK", chunk), ("FLUSH", flush), ("BLOCK_FLUSH", flush)):
+    for name, value in (("CHUNK", chunk), ("FLUSH", flush), ("BLOCK_FLUSH", flush), ("WINDOW_FLUSH", flush)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rows = corpus()
     assert found(remove_repeats(docs_of(rows))) == brute(rows)
@@ -45,6 +45,7 @@ def test_common_phrases_of_every_length(docs_of, monkeypatch, flush):
     """Phrases on both sides of the depths of the passes, each between words of its own in many texts."""
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
     monkeypatch.setattr(suffix_dedup, "BLOCK_FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "WINDOW_FLUSH", flush)
     rng = random.Random(2)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     phrases = [letters(n) for n in (31, 32, 40, 68, 69, 70, 85, 99, 100, 101, 130, 180)]
