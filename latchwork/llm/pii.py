@@ -300,3 +300,38 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(F.col("base"), KINDS), 256).alias("base_sha256"),
         written(F.col("found"), KINDS).alias("spans"),
     )
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_pii returns of the base patterns alone, which SQL can express."""
+    return op4_pii(spark, sf_dir).drop("spans")
+
+
+BASE_SQL = r"""
+WITH k(kind, name, pat) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')
+), h AS (
+  SELECT doc_id, kind, name, regexp_extract_all(x, pat) AS hits, regexp_split_to_array(x, pat) AS gaps
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents), k WHERE regexp_matches(x, pat)
+), s AS (
+  SELECT doc_id, kind, name, hits[i] AS hit, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits,
+         list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(g) for g in hits[1:i - 1]]), 0) AS b
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)
+), t AS (
+  SELECT *, list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INT) ELSE 2 * CAST(reverse(digits)[i] AS INT) - CASE WHEN reverse(digits)[i] > '4' THEN 9 ELSE 0 END END for i in range(1, length(digits) + 1)]) AS luhn
+  FROM s
+), f AS (
+  SELECT doc_id, kind, name, CAST(b AS BIGINT) AS b, CAST(b + length(hit) AS BIGINT) AS e FROM t
+  WHERE CASE kind WHEN 0 THEN true
+    WHEN 1 THEN regexp_full_match(hit, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}')
+    WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND luhn % 10 = 0
+    ELSE length(digits) BETWEEN 10 AND 15 END
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+         string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind) AS base
+  FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256
+FROM documents d LEFT JOIN g USING (doc_id)
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op7_minhash": minhash.op7_minhash,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_url_filter": urlfilter.op9_url_filter,
+    "pii_base": pii.pii_base,
 }
 ORACLE = {
     "op10_bm25_search": bm25.OP10_SQL,
@@ -24,4 +25,5 @@ ORACLE = {
     "op6_secret_scan": secrets.OP6_SQL,
     "op7_minhash": minhash.OP7_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
+    "pii_base": pii.BASE_SQL,
 }
