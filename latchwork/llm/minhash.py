@@ -147,15 +147,25 @@ def _crossed(hashes: np.ndarray, ends: np.ndarray, sought: np.ndarray, label: np
     owner = np.repeat(np.arange(len(counts)), counts)
     order = np.argsort(codes, kind="stable")
     begin = np.searchsorted(codes[order], np.arange(codes.max() + 2))
-    owner = owner[order]
-    frequent = np.diff(begin) > 1
+    owner, held = owner[order], np.diff(begin)
+    mark = np.zeros(len(held), bool)
     for u in sought:
         mine = codes[ends[u] : ends[u + 1]]
-        lists = [owner[begin[c] : begin[c + 1]] for c in mine[frequent[mine]]]
+        # A linked set lacks so few of these shingles that it holds one of the rarest.
+        spare = len(mine) - -(-percent * len(mine) // 100) + 1
+        rare = mine[np.argsort(held[mine], kind="stable")[:spare]]
+        lists = [owner[begin[c] : begin[c + 1]] for c in rare[held[rare] > 1]]
         if not lists:
             continue
-        common = np.bincount(np.concatenate(lists), minlength=len(counts))
-        apart = np.flatnonzero(_linked(common, counts[u], counts, percent) & (common > 0) & (label != label[u]))
+        near = np.unique(np.concatenate(lists))
+        near = near[(label[near] != label[u]) & _linked(np.minimum(counts[u], counts[near]), counts[u], counts[near], percent)]
+        if not len(near):
+            continue
+        mark[mine] = True
+        held_by = mark[np.concatenate([codes[ends[v] : ends[v + 1]] for v in near])]
+        common = np.add.reduceat(held_by, np.r_[0, np.cumsum(counts[near])[:-1]], dtype=np.int64)
+        mark[mine] = False
+        apart = near[_linked(common, counts[u], counts[near], percent)]
         groups, first = np.unique(label[apart], return_index=True)
         if len(groups):
             yield from ((int(u), int(v)) for v in apart[first])
