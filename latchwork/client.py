@@ -18,15 +18,32 @@ from .operators.grants import EDGE, Evaluation
 from .sources.store import EDGE_SCHEMA, Snapshot, Store
 from .sources.tables import discard, settle
 
-OPTIONS = {"key": b"latchwork", "source": "default", "timeout_ms": 30_000, "cursor_seconds": 3600, "cached_permissions": 32}
+OPTIONS = {"key": b"latchwork", "source": "default", "timeout_ms": 30_000, "cursor_seconds": 3600, "cached_permissions": 32, "most_grants": None}
 LONGEST_MS = 3_600_000
 
 
+class Cancellation:
+    """A caller's means to stop reads: ``cancel`` ends the jobs of those that run under it and refuses those that start later."""
+
+    def __init__(self):
+        self.cancelled = threading.Event()
+        self.stops: set[Callable[[], None]] = set()
+        self.lock = threading.Lock()
+
+    def cancel(self) -> None:
+        with self.lock:
+            self.cancelled.set()
+            stops = list(self.stops)
+        for stop in stops:
+            stop()
+
+
 class Client:
     """Checks, enumerations, counts, expansions, reads and writes.
 
     Reads take ``consistency`` (see ``Store.snapshot``) and ``token``; each is answered
-    from one version. Options that aren't known are refused.
+    from one version. Options that aren't known are refused. ``most_grants`` limits what a
+    recursive permission may reach before it is an error; None sets no limit.
     """
 
     def __init__(self, spark: SparkSession, root: str, **options):
@@ -37,33 +54,63 @@ class Client:
         if not 1 <= self.options["timeout_ms"] <= LONGEST_MS:
             raise EngineError("execution/invalid-contract", f"timeout_ms is 1 to {LONGEST_MS}")
         self.spark, self.store = spark, Store(spark, root, self.options["key"], self.options["source"])
+        if self.options["most_grants"] is not None and self.options["most_grants"] < 1:
+            raise EngineError("execution/invalid-contract", "most_grants is at least 1")
         self.signer = Signer(self.options["key"], "cursor", self.options["cursor_seconds"])
+        self._callers = threading.local()
         self._grants: dict[tuple, tuple[DataFrame, str]] = {}
         self.hits = self.misses = 0
 
+    @contextmanager
+    def cancelled_by(self, caller: Cancellation):
+        """Reads of this thread inside the block end with an error once ``caller`` is cancelled."""
+        before = getattr(self._callers, "now", None)
+        self._callers.now = caller
+        try:
+            yield
+        finally:
+            self._callers.now = before
+
     @contextmanager
     def _limited(self, what: str):
-        """Cancels the jobs that the block starts once its time is up."""
+        """Cancels the jobs that the block starts once its time is up or its caller has cancelled."""
         tag, over = f"latchwork-{uuid.uuid4().hex}", threading.Event()
+        caller = getattr(self._callers, "now", None)
 
-        def stop() -> None:
-            over.set()
+        def end() -> None:
             self.spark.sparkContext.cancelJobsWithTag(tag)
 
-        timer = threading.Timer(self.options["timeout_ms"] / 1000, stop)
+        def late() -> None:
+            over.set()
+            end()
+
+        def cause() -> EngineError | None:
+            if caller is not None and caller.cancelled.is_set():
+                return EngineError("execution/cancelled", f"{what} was cancelled")
+            return EngineError("execution/deadline-exceeded", f"{what} took more than {self.options['timeout_ms']} ms") if over.is_set() else None
+
+        timer = threading.Timer(self.options["timeout_ms"] / 1000, late)
         self.spark.sparkContext.addJobTag(tag)
+        if caller is not None:
+            with caller.lock:
+                caller.stops.add(end)
         timer.start()
-        late = EngineError("execution/deadline-exceeded", f"{what} took more than {self.options['timeout_ms']} ms")
         try:
+            if caller is not None and caller.cancelled.is_set():
+                raise cause()
             yield
-            if over.is_set():  # between two jobs
-                raise late
+            if (error := cause()) is not None:  # between two jobs
+                raise error
         except Exception as e:
-            if over.is_set() and e is not late:
-                raise late from e
+            error = cause()
+            if error is not None and getattr(e, "code", None) != error.code:
+                raise error from e
             raise
         finally:
             timer.cancel()
+            if caller is not None:
+                with caller.lock:
+                    caller.stops.discard(end)
             self.spark.sparkContext.removeJobTag(tag)
 
     def snapshot(self, consistency: str = "minimize-latency", token: str | None = None) -> Snapshot:
@@ -78,7 +125,7 @@ class Client:
 
     def check_many(self, demands: DataFrame, subject_type: str, permission: str, resource_type: str, **consistency) -> DataFrame:
         s = self.snapshot(**consistency)
-        return access.check(s.schema, s.edges, demands, resource_type, permission, subject_type)
+        return access.check(s.schema, s.edges, demands, resource_type, permission, subject_type, self.options["most_grants"])
 
     def require(self, subject_type: str, subject_id: str, permission: str, resource_type: str, resource_id: str, **consistency) -> None:
         if not self.check(subject_type, subject_id, permission, resource_type, resource_id, **consistency):
@@ -90,11 +137,11 @@ class Client:
 
         def holds(s: Snapshot, row: dict) -> bool:
             one = self.spark.createDataFrame([(subject_id, row["resource_id"])], "subject_id string, resource_id string")
-            return access.check(s.schema, s.edges, one, resource_type, permission, subject_type).first().allowed
+            return access.check(s.schema, s.edges, one, resource_type, permission, subject_type, self.options["most_grants"]).first().allowed
 
         with self._limited("lookup_resources"):
             s, held = self._paged(scope, page, consistency, token, proof, holds)
-            return paging.resources_page(s.schema, s.edges, resource_type, permission, subject_type, subject_id, self.signer, scope, evaluation, held=held, **page)
+            return paging.resources_page(s.schema, s.edges, resource_type, permission, subject_type, subject_id, self.signer, scope, evaluation, self.options["most_grants"], held=held, **page)
 
     def lookup_subjects(self, resource_type: str, resource_id: str, permission: str, subject_type: str, consistency="minimize-latency", token=None, **page) -> paging.Page:
         scope = {"op": "subjects", "of": [resource_type, resource_id, permission, subject_type]}
@@ -102,12 +149,12 @@ class Client:
 
         def holds(s: Snapshot, row: dict) -> bool:
             one = self.spark.createDataFrame([(row["subject_id"], resource_id)], "subject_id string, resource_id string")
-            return access.check(s.schema, s.edges, one, resource_type, permission, subject_type).first().allowed
+            return access.check(s.schema, s.edges, one, resource_type, permission, subject_type, self.options["most_grants"]).first().allowed
 
         with self._limited("lookup_subjects"):
             s, held = self._paged(scope, page, consistency, token, proof, holds)
             one = self.spark.createDataFrame([(resource_id,)], "resource_id string")
-            rows = access.lookup_subjects(s.schema, s.edges, resource_type, permission, subject_type, one)
+            rows = access.lookup_subjects(s.schema, s.edges, resource_type, permission, subject_type, one, self.options["most_grants"])
             return paging.assemble(rows, ("subject_id",), self.signer, scope, ("subject_id",), held=held, **page)
 
     def _paged(self, scope: dict, page: dict, consistency: str, token: str | None, proof: Callable[[Snapshot], tuple], holds: Callable[[Snapshot, dict], bool]) -> tuple[Snapshot, dict]:
@@ -138,13 +185,13 @@ class Client:
         s = self.snapshot(**consistency)
         one = self.spark.createDataFrame([(subject_id,)], "subject_id string")
         with self._limited("count_resources"):
-            return access.count_one(access.lookup_resources(s.schema, s.edges, resource_type, permission, subject_type, one), limit)
+            return access.count_one(access.lookup_resources(s.schema, s.edges, resource_type, permission, subject_type, one, self.options["most_grants"]), limit)
 
     def count_subjects(self, resource_type: str, resource_id: str, permission: str, subject_type: str, limit: int | None = None, **consistency) -> tuple[int, int, bool]:
         s = self.snapshot(**consistency)
         one = self.spark.createDataFrame([(resource_id,)], "resource_id string")
         with self._limited("count_subjects"):
-            return access.count_one(access.lookup_subjects(s.schema, s.edges, resource_type, permission, subject_type, one), limit)
+            return access.count_one(access.lookup_subjects(s.schema, s.edges, resource_type, permission, subject_type, one, self.options["most_grants"]), limit)
 
     def expand(self, resource_type: str, resource_id: str, name: str, **consistency) -> dict:
         s = self.snapshot(**consistency)
@@ -163,7 +210,7 @@ class Client:
             self._grants[key] = self._grants.pop(key)  # most recent last
             return self._grants[key][0]
         self.misses += 1
-        self._grants[key] = settle(Evaluation(s.schema, s.edges).grants(*root), "grants")
+        self._grants[key] = settle(Evaluation(s.schema, s.edges, most_rows=self.options["most_grants"]).grants(*root), "grants")
         if len(self._grants) > self.options["cached_permissions"]:
             discard(self.spark, self._grants.pop(next(iter(self._grants)))[1])
         return self._grants[key][0]

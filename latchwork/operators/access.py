@@ -1,4 +1,4 @@
-"""Checks, enumerations and counts over grants."""
+"""Checks, enumerations and counts over grants; ``most_rows`` is the limit of ``Evaluation``."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..plans.schema import Schema
 from .grants import Evaluation
 
 
-def check(schema: Schema, edges: DataFrame, demands: DataFrame, resource_type: str, permission: str, subject_type: str) -> DataFrame:
+def check(schema: Schema, edges: DataFrame, demands: DataFrame, resource_type: str, permission: str, subject_type: str, most_rows: int | None = None) -> DataFrame:
     """``demands`` (subject_id, resource_id and others) with ``allowed``: does the subject hold the permission?
 
     Unknown ids hold nothing. Repeated demands keep a row each. All demands are one
@@ -20,24 +20,24 @@ def check(schema: Schema, edges: DataFrame, demands: DataFrame, resource_type: s
     """
     schema.require_type(subject_type)
     schema.require_permission(resource_type, permission)
-    run = Evaluation(schema, edges, subject_type, demands.select("subject_id"))
+    run = Evaluation(schema, edges, subject_type, demands.select("subject_id"), most_rows)
     held = run.demanded(resource_type, permission, demands.select("resource_id")).select(F.col("subject_id").alias("s"), F.col("resource_id").alias("r"))
     both = demands.join(held, (demands.subject_id == held.s) & (demands.resource_id == held.r), "left")
     return both.withColumn("allowed", F.col("s").isNotNull()).drop("s", "r")
 
 
-def lookup_resources(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, subjects: DataFrame | None = None) -> DataFrame:
+def lookup_resources(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, subjects: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
     """Distinct (subject_id, resource_id): the resources on which subjects hold a permission, all subjects if none are given."""
     schema.require_type(subject_type)
     schema.require_permission(resource_type, permission)
-    return Evaluation(schema, edges, subject_type, subjects).grants(resource_type, permission).select("subject_id", "resource_id")
+    return Evaluation(schema, edges, subject_type, subjects, most_rows).grants(resource_type, permission).select("subject_id", "resource_id")
 
 
-def lookup_subjects(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, resources: DataFrame | None = None) -> DataFrame:
+def lookup_subjects(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, resources: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
     """Distinct (resource_id, subject_id): the subjects of a type that hold a permission on resources, all resources if none are given."""
     schema.require_type(subject_type)
     schema.require_permission(resource_type, permission)
-    run = Evaluation(schema, edges, subject_type)
+    run = Evaluation(schema, edges, subject_type, most_rows=most_rows)
     held = run.grants(resource_type, permission) if resources is None else run.demanded(resource_type, permission, resources)
     return held.select("resource_id", "subject_id")
 

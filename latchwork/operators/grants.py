@@ -36,10 +36,11 @@ class Evaluation:
 
     ``subject_type`` and ``subjects`` (a DataFrame with subject_id) restrict the holders:
     rules that lead to no such type aren't run, and the seeds are filtered before any join.
+    ``most_rows``: rows that a recursive component may reach; more are an error.
     """
 
-    def __init__(self, schema: Schema, edges: DataFrame, subject_type: str | None = None, subjects: DataFrame | None = None):
-        self.schema, self.edges, self.subject_type, self.subjects = schema, edges, subject_type, subjects
+    def __init__(self, schema: Schema, edges: DataFrame, subject_type: str | None = None, subjects: DataFrame | None = None, most_rows: int | None = None):
+        self.schema, self.edges, self.subject_type, self.subjects, self.most_rows = schema, edges, subject_type, subjects, most_rows
         self.done: dict[Node, DataFrame] = {}
         self.rounds = 0
 
@@ -118,7 +119,7 @@ class Evaluation:
                         via = relation_edges(self.edges, rule.resource_type, rule.via, t)
                         back += [via.select(F.lit(number[n]).alias("from_node"), F.col("resource_id").alias("from_id"), F.lit(number[m]).alias("to_node"), F.col("subject_id").alias("to_id")) for m in into[(t, rule.target)]]
         if back:
-            seed, self.rounds = reach(seed, reduce(DataFrame.union, back))
+            seed, self.rounds = reach(seed, reduce(DataFrame.union, back), most_rows=self.most_rows)
         out = []
         for n in group:
             own = seed.where(F.col("node") == number[n]).select(F.col("subject_id").alias("root"), F.col("resource_id").alias("object"))
@@ -155,7 +156,7 @@ class Evaluation:
             return
         found = reduce(DataFrame.unionByName, seeds).select("node", "resource_id", "subject_type", "subject_id").distinct()
         if steps:
-            found, self.rounds = reach(found, reduce(DataFrame.union, steps))
+            found, self.rounds = reach(found, reduce(DataFrame.union, steps), most_rows=self.most_rows)
         for n in group:
             self.done[n] = found.where(F.col("node") == number[n]).select("resource_id", "subject_type", "subject_id")
 
@@ -197,7 +198,7 @@ class Evaluation:
         return out
 
 
-def reach(seed: DataFrame, steps: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, int]:
+def reach(seed: DataFrame, steps: DataFrame, most_rounds: int = MOST_ROUNDS, most_rows: int | None = None) -> tuple[DataFrame, int]:
     """All (node, resource_id, subject_type, subject_id) that steps lead to from the seed; and the rounds it took.
 
     ``steps``: (from_node, from_id, to_node, to_id). Round k joins what is found with the
@@ -205,7 +206,8 @@ def reach(seed: DataFrame, steps: DataFrame, most_rounds: int = MOST_ROUNDS) ->
     that finds nothing new ends it. Where pairs of that length would outnumber the
     steps too much, the pairs stay as they are and rounds go on from the newest rows
     alone, as long as there are any. Each round writes its new rows only; the result
-    reads all of them. The driver sees counts only.
+    reads all of them. The driver sees counts only. More than ``most_rows`` rows, counted
+    after each round, are an error, never a part of the result.
     """
     spark = seed.sparkSession
     row = ["node", "resource_id", "subject_type", "subject_id"]
@@ -215,6 +217,8 @@ def reach(seed: DataFrame, steps: DataFrame, most_rounds: int = MOST_ROUNDS) ->
     paths, paths_path = single, single_path
     most, doubling = PATHS_PER_EDGE * max(1, single.count()), True
     for k in range(1, most_rounds + 1):
+        if most_rows is not None and found.count() > most_rows:
+            raise EngineError("traversal/limit-exceeded", f"a recursive permission reaches more than {most_rows} grants", limit=most_rows)
         source = found if doubling else delta
         led = source.join(paths, (F.col("node") == F.col("from_node")) & (F.col("resource_id") == F.col("from_id")))
         led = led.select(F.col("to_node").alias("node"), F.col("to_id").alias("resource_id"), "subject_type", "subject_id").distinct()

@@ -93,7 +93,7 @@ def assemble(rows: DataFrame, keys: tuple[str, ...], signer: Signer, scope: dict
     return Page([{c: r[c] for c in columns} for r in got], mark(0), mark(-1), has_next, has_previous, start)
 
 
-def resources_page(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, subject_id, signer: Signer, scope: dict, evaluation: str | None = None, **page) -> Page:
+def resources_page(schema: Schema, edges: DataFrame, resource_type: str, permission: str, subject_type: str, subject_id, signer: Signer, scope: dict, evaluation: str | None = None, most_rows: int | None = None, **page) -> Page:
     """A page of the resources on which one subject holds a permission.
 
     The order is that of least paths; that of ids for recursive permissions. Pages of one
@@ -109,7 +109,7 @@ def resources_page(schema: Schema, edges: DataFrame, resource_type: str, permiss
         if page.get("last") is not None and page.get("before") is None and evaluation is None:
             raise EngineError("pagination/complete-evaluation-required", "the last rows of a recursive permission need evaluation complete-denotation")
         one = edges.sparkSession.createDataFrame([(subject_id,)], ["subject_id"])
-        rows = Evaluation(schema, edges, subject_type, one).grants(resource_type, permission).select("resource_id").withColumn("key", F.col("resource_id"))
+        rows = Evaluation(schema, edges, subject_type, one, most_rows).grants(resource_type, permission).select("resource_id").withColumn("key", F.col("resource_id"))
     else:
         rows = least_paths(schema, edges, resource_type, permission, subject_type, subject_id).select("resource_id", F.col("path").alias("key"))
     return assemble(rows, ("key", "resource_id"), signer, scope, ("resource_id",), **page)

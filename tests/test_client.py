@@ -1,8 +1,9 @@
+import threading
 import time
 
 import pytest
 
-from latchwork.client import Client
+from latchwork.client import Cancellation, Client
 from latchwork.errors import EngineError
 from latchwork.functions.tokens import Signer, canonical
 from latchwork.operators import integrity
@@ -232,6 +233,32 @@ def test_deadline(client):
     assert code(lambda: quick.count_resources("user", "user-1", "view", "server")) == "execution/deadline-exceeded"
 
 
+def test_cancellation_by_the_caller(client, monkeypatch):
+    caller = Cancellation()
+    with client.cancelled_by(caller):
+        assert client.count_resources("user", "user-1", "view", "server") == (2, -1, False)
+        # Cancelled while a job runs: it ends and doesn't take its 60 seconds.
+        threading.Timer(2, caller.cancel).start()
+        began = time.monotonic()
+
+        def slow():
+            with client._limited("slow"):
+                client.spark.range(1).selectExpr("java_method('java.lang.Thread', 'sleep', 60000L + id)").collect()
+
+        assert code(slow) == "execution/cancelled" and time.monotonic() - began < 30
+        assert code(lambda: client.check("user", "user-1", "view", "server", "server-1")) == "execution/cancelled"
+    assert not caller.stops and client.count_resources("user", "user-1", "view", "server") == (2, -1, False)
+
+
+def test_limit_on_what_recursion_reaches(client):
+    client.create_relationships([("user", "u", "owner", "folder", "f0"), *[("folder", f"f{i}", "parent", "folder", f"f{i + 1}") for i in range(9)]])
+    few, enough = (Client(client.spark, client.store.root, most_grants=n) for n in (9, 10))
+    assert enough.count_resources("user", "u", "view", "folder") == (10, -1, False)
+    assert code(lambda: few.count_resources("user", "u", "view", "folder")) == "traversal/limit-exceeded"
+    assert code(lambda: few.lookup_resources("user", "u", "view", "folder", first=2)) == "traversal/limit-exceeded"
+    assert code(lambda: Client(client.spark, client.store.root, most_grants=0)) == "execution/invalid-contract"
+
+
 def test_tokens():
     s = Signer(b"k", "cursor", 10)
     t = s.issue({"a": 1}, {"b": 2}, now=100)
