@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
 kept. All but the last return the columns of documents: doc_id, text, lang, source,
 n_chars. Between stages the rows are written as Parquet and read again.
+
+In every stage repeated rows keep a row each, or go together; null doc_ids and very long
+texts are treated as any other; further columns, of any name, are left out; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the cut; the classifier learns from the labels that aren't held out.
 
-    Nulls and empty texts have no words and stay; an empty table stays empty.
+    Null and empty texts have no words and stay.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_rows(pick(docs, *COLUMNS), model).where(F.col("score") < toxicity.CUT).drop("score")
@@ -46,7 +50,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document; the ids decode to its text."""
+    """doc_id, n_tokens and ids of each document; the ids decode to its text. Null and empty texts have no ids."""
     coded = pieces.encode_texts(docs)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.translate("text", pieces.SPACE, " ")).alias("round_trip"))
 

@@ -46,3 +46,23 @@ def test_stages(spark, tmp_path):
     out = {r.doc_id: r for r in now.collect()}
     assert set(out) == set(redacted) and all(own.decode(out[i].ids) == (t or "") and out[i].round_trip for i, t in redacted.items() if t)
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((i, r.n_tokens) for i, r in out.items())
+
+
+def test_each_stage_on_awkward_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing further columns; and an empty table."""
+    _, labels = labelled(spark, 80)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "these are ten words of the item that stands here now")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = "some plain words about rivers hills and towns far away"
+    rows = [(None, "a text without any id"), (1, None), (2, ""), (3, words), (3, words), (4, "x" * 200_000), (5, " ".join(f"w{i}" for i in range(30_000))), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", 2.0, ["y"]) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id long, TEXT string, score double, found array<string>")
+    want = sorted(rows, key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.where("false"), str(tmp_path))
+        assert none.isEmpty() and none.columns == out.columns
+        if name == "sentencepiece":
+            got = out.collect()
+            assert sorted((str(r.doc_id), bool(r.n_tokens)) for r in got) == sorted((str(i), bool(t)) for i, t in rows)
+        else:
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want, name
